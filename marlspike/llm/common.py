@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,8 +17,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 SPACES = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: UTF-16 units of text handed to a text function at once; a longer text goes alone.
-CHUNK_CHARS = 4_000_000
+#: Bytes of text handed to a text function at once; a longer text goes alone.
+CHUNK_BYTES = 4_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -89,12 +90,12 @@ def map_text(df: DataFrame, text: str, fields: list[T.StructField], make: Callab
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for batch in batches:
-            lengths = pa.compute.fill_null(pa.compute.utf8_length(batch.column(at)), 0).to_numpy()
+            lengths = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy()
             start = 0
             while start < batch.num_rows:
-                end, chars = start, 0
-                while end < batch.num_rows and (end == start or chars + lengths[end] <= CHUNK_CHARS):
-                    chars += int(lengths[end])
+                end, n_bytes = start, 0
+                while end < batch.num_rows and (end == start or n_bytes + lengths[end] <= CHUNK_BYTES):
+                    n_bytes += int(lengths[end])
                     end += 1
                 part = batch.slice(start, end - start)
                 made = f(part.column(at).to_pylist())
