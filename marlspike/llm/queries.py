@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from marlspike.llm import byte_bpe, exact_dedup, mixing, simhash
+from marlspike.llm import byte_bpe, exact_dedup, license_scan, mixing, quality, secret_scan, simhash, token_counts, url_filter
+from marlspike.llm.common import shared_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,11 +30,34 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)
 """
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # a new cache each time, so that a call does all the work
+    tokenizer = token_counts.Tokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents"), tokenizer, shared_path(spark, "token-counts"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return byte_bpe.digests(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_table(spark, sf_dir, "documents"))
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return secret_scan.scan(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_urls(_table(spark, sf_dir, "pages"))
+
+
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(_table(spark, sf_dir, "documents"))
 
@@ -89,11 +113,16 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
+        "op2_token_counts": op2_token_counts,
         "op4_byte_bpe": op4_byte_bpe,
+        "op5_license_scan": op5_license_scan,
+        "op6_quality_rules": op6_quality_rules,
+        "op7_secret_scan": op7_secret_scan,
+        "op8_url_filter": op8_url_filter,
         "op9_source_mix": op9_source_mix,
         "op10_simhash_near_dedup": op10_simhash_near_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op9_source_mix": OP9_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op5_license_scan": license_scan.scan_sql(), "op9_source_mix": OP9_SQL}
