@@ -1,20 +1,54 @@
-"""The corpus pipeline: stages that each read what the one before wrote."""
+"""The corpus pipeline: quality rules, exact and near duplicates, the mix of sources, token ids."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from marlspike.llm import common, exact_dedup
+from marlspike.llm import byte_bpe, common, exact_dedup, mixing, quality, simhash
+
+RANKS = "byte_bpe_50k.tiktoken"
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules or the cutoffs of their language reject go."""
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of equal texts stays."""
+    """Of documents with equal texts, the one with the smallest doc_id stays."""
     return exact_dedup.deduplicate(docs)
 
 
-STAGES = [("exact_dedup", exact_stage)]
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near duplicates, the document with the smallest doc_id stays."""
+    return simhash.keep_one(docs)
+
+
+def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document comes as often as the mix takes it: never, once or twice."""
+    return mixing.mix_documents(docs)
+
+
+def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, n_tokens and ids: the whole text's token ids, 32-bit and little-endian.
+
+    Every text is decoded again; a difference to its bytes would fail the stage."""
+    encoded = byte_bpe.encode(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN, verify=True)
+    return encoded.select("doc_id", "lang", "source", F.col("n_tokens"), F.col("ids"))
+
+
+STAGES = [
+    ("quality_rules", quality_stage),
+    ("exact_dedup", exact_stage),
+    ("simhash_near_dedup", near_stage),
+    ("source_mix", mix_stage),
+    ("byte_bpe", tokens_stage),
+]
 
-#: Hash functions, exact binomial bounds and merges of byte pairs have no SQL form; tests hold the stages against brute force.
+#: Exact binomial bounds, 64-bit hashes, components and merges of byte pairs have no SQL form; tests
+#: hold the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -154,9 +154,13 @@ def _digests(bpe: ByteBpe):
     return run
 
 
-def _ids(bpe: ByteBpe):
+def _ids(bpe: ByteBpe, verify: bool):
     def run(texts: list[str | None]) -> list:
         ids = bpe.encode_all(texts)
+        if verify:
+            for text, x in zip(texts, ids, strict=True):
+                if bpe.decode(x) != (text or "").encode("utf-8", "surrogatepass"):
+                    raise ValueError(f"ids do not decode to their text: {text[:80]!r}")
         return [[len(x) // 4 for x in ids], ids]
 
     return run
@@ -171,12 +175,14 @@ def _files(df: DataFrame, ranks_path: str):
     return df.sparkSession.sparkContext.broadcast((ranks, sentencepiece_model(ranks)))
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", n_name: str = "n_tokens", ids_name: str = "ids") -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", n_name: str = "n_tokens", ids_name: str = "ids", verify: bool = False) -> DataFrame:
     """docs with the number of tokens and the ids (32-bit, little-endian) of each whole text; null counts as empty.
 
+    verify decodes each text's ids again and fails if the bytes differ.
+
     Row by row, in Arrow batches: no shuffle, and ties, repeated rows and no rows need no rule."""
     fields = [T.StructField(n_name, T.LongType()), T.StructField(ids_name, T.BinaryType())]
-    return map_text(docs, text_col, fields, _maker(_files(docs, ranks_path), pattern, _ids))
+    return map_text(docs, text_col, fields, _maker(_files(docs, ranks_path), pattern, _ids, verify))
 
 
 def decode(encoded: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids", name: str = "decoded") -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from marlspike.llm import byte_bpe, exact_dedup, license_scan, mixing, quality, secret_scan, simhash, token_counts, url_filter
+from marlspike.llm import byte_bpe, exact_dedup, language_id, license_scan, mixing, quality, secret_scan, simhash, token_counts, url_filter
 from marlspike.llm.common import shared_path
 
 
@@ -36,6 +36,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), tokenizer, shared_path(spark, "token-counts"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(_table(spark, sf_dir, "documents"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return byte_bpe.digests(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
@@ -114,6 +118,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
         "op2_token_counts": op2_token_counts,
+        "op3_language_id": op3_language_id,
         "op4_byte_bpe": op4_byte_bpe,
         "op5_license_scan": op5_license_scan,
         "op6_quality_rules": op6_quality_rules,
