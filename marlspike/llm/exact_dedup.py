@@ -61,12 +61,12 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Keeps the row that duplicate_groups() keeps. Rows of frequent digests other than the broadcast
     winners go before any shuffle; what is left is shuffled once by digest."""
-    digest, order, best = fresh(docs, "digest", "order", "best")
+    digest, order, best, item, winner = fresh(docs, "digest", "order", "best", "item", "winner")
     names = docs.columns
     ranked = docs.withColumn(digest, text_digest(col(text_col))).withColumn(order, ordered(col(id_col)))
     keyed = checkpoint(ranked.select(F.col(digest).alias("digest"), F.col(order).alias("rank")))
-    heavy = F.broadcast(_heavy_winners(keyed, counters).select(F.col("item").alias("item_"), F.col("winner").alias("winner_")))
-    ranked = ranked.join(heavy, F.col(digest) == F.col("item_"), "left").where(F.col("winner_").isNull() | F.col(order).eqNullSafe(F.col("winner_")))
+    heavy = F.broadcast(_heavy_winners(keyed, counters).select(F.col("item").alias(item), F.col("winner").alias(winner)))
+    ranked = ranked.join(heavy, F.col(digest) == F.col(item), "left").where(F.col(winner).isNull() | F.col(order).eqNullSafe(F.col(winner)))
     # equal ids: the smaller hash of the raw text, so that reruns agree
     first = F.min_by(F.struct(*[col(c) for c in names]), F.struct(F.col(order), F.xxhash64(col(text_col))))
     return ranked.groupBy(digest).agg(first.alias(best)).select(*[F.col(best).getField(c).alias(c) for c in names])

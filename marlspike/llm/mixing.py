@@ -135,23 +135,22 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Documents without words take none of the budget and stay once. Rows that share an id, source and text are told apart by
     nothing, so their copies are counted together."""
-    key, copies, rows = fresh(docs, "key", "copies", "rows")
+    key, copies, rows, its_id, its_key, whole = fresh(docs, "key", "copies", "rows", "its_id", "its_key", "whole")
     key_of = F.xxhash64(col(id_col), col(source_col), col(text_col))
     mixed = mix(sized(docs, id_col, text_col, source_col, {"key": key_of}))
     n = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.col("n_copies"))
-    picks = checkpoint(mixed.groupBy("doc_id", "key").agg(F.sum(n).alias(copies), F.count(F.lit(1)).alias(rows)).where(F.col(copies) > 0).withColumnRenamed("doc_id", "id_").withColumnRenamed("key", "key_"))
+    picks = checkpoint(mixed.groupBy("doc_id", "key").agg(F.sum(n).alias(copies), F.count(F.lit(1)).alias(rows)).where(F.col(copies) > 0).withColumnRenamed("doc_id", its_id).withColumnRenamed("key", its_key))
     names = docs.columns
     keyed = docs.withColumn(key, key_of)
 
     def taken(rows_in: DataFrame, which: Column) -> DataFrame:
-        return rows_in.join(picks.where(which), col(id_col).eqNullSafe(F.col("id_")) & (F.col(key) == F.col("key_")))
+        return rows_in.join(picks.where(which), col(id_col).eqNullSafe(F.col(its_id)) & (F.col(key) == F.col(its_key)))
 
     def repeat(df: DataFrame) -> DataFrame:
         return df.withColumn(key, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(*[col(c) for c in names])
 
     out = repeat(taken(keyed, F.col(rows) == 1))
     if picks.where(F.col(rows) > 1).limit(1).count():
-        (whole,) = fresh(docs, "whole")
-        again = taken(keyed, F.col(rows) > 1).groupBy("id_", "key_").agg(F.first(F.struct(*[col(c) for c in names])).alias(whole), F.first(copies).alias(copies))
+        again = taken(keyed, F.col(rows) > 1).groupBy(its_id, its_key).agg(F.first(F.struct(*[col(c) for c in names])).alias(whole), F.first(copies).alias(copies))
         out = out.unionByName(again.withColumn(key, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(*[F.col(whole).getField(c).alias(c) for c in names]))
     return out

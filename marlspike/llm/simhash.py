@@ -133,12 +133,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def assign(marked: DataFrame) -> DataFrame:
-    """The rows of marked (doc_id, fp) with component_id."""
+    """The rows of marked (doc_id, fp) with part, a fingerprint that stands for the component, and component_id."""
     classes = checkpoint(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     parts = components(links(classes.select("fp")))
     named = classes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("part", F.coalesce("component", "fp"))
     first = named.groupBy("part").agg(F.min("first_id").alias("component_id"))
-    by_fp = named.select("fp", "part").join(first, "part").select("fp", "component_id")
+    by_fp = named.select("fp", "part").join(first, "part").select("fp", "part", "component_id")
     return marked.join(by_fp, "fp")
 
 
@@ -147,16 +147,23 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     An id stands for one document: rows that repeat it count as copies, of which one stays, that
     with the smallest hash of its text. Rows without an id stay only if their component has none."""
-    (fp,) = fresh(docs, "fp")
+    gone_id, same, best, fp, its_fp, part = fresh(docs, "gone_id", "same", "best", "fp", "its_fp", "part")
     marked = checkpoint(fingerprints(docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text")), "text", ["doc_id"], "fp"))
     rows = assign(marked)
-    gone = rows.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("n"))
-    gone = checkpoint(gone.where(~F.col("doc_id").eqNullSafe(F.col("component_id")) | (F.col("n") > 1)))
-    repeated = gone.where("n > 1").limit(1).count()
-    dropped = gone.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone_id"))
-    kept = docs.join(dropped, col(id_col).eqNullSafe(F.col("gone_id")), "left_anti")
-    if not repeated:
-        return kept
-    (best,) = fresh(docs, "best")
-    one = kept.groupBy(col(id_col).alias(fp)).agg(F.min_by(F.struct(*[col(c) for c in docs.columns]), F.xxhash64(col(text_col))).alias(best))
-    return one.select(*[F.col(best).getField(c).alias(c) for c in docs.columns])
+    ids = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    odd = checkpoint(ids.where((F.col("doc_id") != F.col("component_id")) | (F.col("n") > 1)))
+    dropped = odd.where("doc_id <> component_id").select(F.col("doc_id").alias(gone_id))
+    names = docs.columns
+
+    def one_each(df: DataFrame, key: str) -> DataFrame:
+        first = df.groupBy(F.col(key)).agg(F.min_by(F.struct(*[col(c) for c in names]), F.xxhash64(col(text_col))).alias(best))
+        return first.select(*[F.col(best).getField(c).alias(c) for c in names])
+
+    kept = docs.where(col(id_col).isNotNull()).join(dropped, col(id_col) == F.col(gone_id), "left_anti")
+    if odd.where("n > 1").limit(1).count():
+        kept = one_each(kept.withColumn(same, col(id_col)), same)
+    if marked.where("doc_id IS NULL").limit(1).count():
+        lonely = checkpoint(rows.where("component_id IS NULL").select(F.col("fp").alias(its_fp), F.col("part").alias(part)).distinct())
+        unnamed = fingerprints(docs.where(col(id_col).isNull()), text_col, names, fp)
+        kept = kept.unionByName(one_each(unnamed.join(lonely, F.col(fp) == F.col(its_fp)), part))
+    return kept
