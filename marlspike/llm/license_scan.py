@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import re
 from collections import Counter
 
@@ -63,14 +64,38 @@ def size_bounds(n: int, least: float) -> tuple[float, float]:
     return least / (2 - least) * n, (2 - least) / least * n
 
 
-def passages(text: Column) -> Column:
-    """Normalised lines, paragraphs between blank lines, and the whole text, each distinct one once."""
-    clean = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), OTHER, " ")
-    lines = F.split(clean, "\n")
-    blocks = F.split(clean, "\n ?\n[ \n]*")
-    flat = F.transform(F.concat(blocks, F.array(clean)), lambda b: F.trim(F.regexp_replace(b, "[ \n]+", " ")))
-    alone = F.transform(lines, lambda x: F.trim(x))
-    return F.when(F.contains(clean, F.lit("\n")), F.array_distinct(F.concat(alone, flat))).otherwise(alone)
+def least_shared(n: int, least: float) -> int:
+    """How many of a bag of n a matching one shares with it at least, whatever its size within the bounds."""
+    low, high = size_bounds(n, least)
+    return min(math.ceil(least * (m + n) / 2 - 1e-9) for m in range(max(1, math.ceil(low - 1e-9)), math.floor(high + 1e-9) + 1))
+
+
+def _spaces(p: Column) -> Column:
+    return F.length(p) - F.length(F.replace(p, F.lit(" "), F.lit("")))
+
+
+def passages(clean: Column, low: int, high: int) -> Column:
+    """Normalised lines, paragraphs between blank lines, and the whole text: those of low to high bigrams, each once.
+
+    A line has a space less than words. In longer passages each gap has at most one more space than
+    line ends, so spaces less line ends are at most the words: most are too long by that alone, and
+    only the others are brought to one line."""
+    middle, half = (low + high) / 2, (high - low) / 2
+
+    def fits(p: Column) -> Column:
+        return F.abs(_spaces(p) - middle) <= half  # the count is made once
+
+    def short(p: Column) -> Column:
+        return _spaces(p) - (F.length(p) - F.length(F.replace(p, F.lit("\n"), F.lit("")))) <= high + 2
+
+    def one_line(p: Column) -> Column:
+        return F.trim(F.regexp_replace(p, "[ \n]+", " "))
+
+    lines = F.filter(F.transform(F.split(clean, "\n"), lambda x: F.trim(x)), fits)
+    blank = F.contains(clean, F.lit("\n\n")) | F.contains(clean, F.lit("\n \n"))
+    blocks = F.filter(F.when(blank, F.split(clean, "\n ?\n[ \n]*")).otherwise(F.array().cast("array<string>")), short)
+    whole = F.when(F.contains(clean, F.lit("\n")) & short(clean), F.array(clean)).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(lines, F.filter(F.transform(F.concat(blocks, whole), one_line), fits)))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST_DICE, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
@@ -84,13 +109,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least:
     repeated; no rows give no rows; other columns are ignored. Each row is judged where it is."""
     rows = _rows(templates)
     bounds = [size_bounds(r["n"], least) for r in rows]
-    low, high = min(b[0] for b in bounds), max(b[1] for b in bounds)
+    low, high = math.ceil(min(b[0] for b in bounds)), math.floor(max(b[1] for b in bounds))
     schema = "array<struct<name string, n int, grams array<struct<gram string, n int>>>>"
     table = F.from_json(F.lit(json.dumps(rows)), schema)
 
-    def sized(p: Column) -> Column:
-        return F.length(p) - F.length(F.replace(p, F.lit(" "), F.lit("")))
-
     def bag(p: Column) -> Column:
         words = F.split(p, " ")
         return F.struct(p.alias("p"), F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: F.concat(a, F.lit(" "), b)).alias("grams"))
@@ -99,14 +121,23 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least:
         shared = F.aggregate(t["grams"], F.lit(0), lambda acc, g: acc + F.least(g["n"], F.size(b["grams"]) - F.size(F.array_remove(b["grams"], g["gram"]))))
         return 2.0 * shared / (F.size(b["grams"]) + t["n"])
 
+    # a matching bag shares least_shared() bigrams, all but the template's repeats of them different ones
+    distinct = [least_shared(r["n"], least) - (r["n"] - len(r["grams"])) for r in rows]
+    known = F.from_json(F.lit(json.dumps(sorted({g["gram"] for r in rows for g in r["grams"]}))), "array<string>")
+
+    def may_match(b: Column) -> Column:
+        return F.size(F.array_intersect(b["grams"], known)) >= max(1, min(distinct))
+
     def best(b: Column) -> Column:
         fitting = F.filter(table, lambda t: (F.size(b["grams"]) >= least / (2 - least) * t["n"]) & (F.size(b["grams"]) <= (2 - least) / least * t["n"]))
         scored = F.transform(fitting, lambda t: F.struct(dice(b, t).alias("dice"), t["name"].alias("name")))
         first = lambda x, y: F.when(x["dice"] > y["dice"], -1).when(x["dice"] < y["dice"], 1).when(x["name"] < y["name"], -1).when(x["name"] > y["name"], 1).otherwise(0)
         return F.get(F.array_sort(F.filter(scored, lambda s: s["dice"] >= least), first), 0)
 
-    fit = docs.select(col(id_col).alias("doc_id"), F.filter(passages(col(text_col)), lambda p: (sized(p) >= low) & (sized(p) <= high)).alias("fit"))
-    found = fit.select("doc_id", F.filter(F.transform(F.transform("fit", bag), best), lambda m: m.isNotNull()).alias("found"))
+    # each step is a column of its own, so that what several parts of the next one use is computed once
+    clean = docs.select(col(id_col).alias("doc_id"), F.regexp_replace(F.lower(F.coalesce(col(text_col), F.lit(""))), OTHER, " ").alias("clean"))
+    fit = clean.select("doc_id", passages(F.col("clean"), low, high).alias("fit"))
+    found = fit.select("doc_id", F.filter(F.transform(F.filter(F.transform("fit", bag), may_match), best), lambda m: m.isNotNull()).alias("found"))
     return found.select(
         "doc_id",
         F.array_join(F.array_sort(F.array_distinct(F.transform("found", lambda s: s["name"]))), ",").alias("licenses"),

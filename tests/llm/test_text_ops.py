@@ -166,6 +166,8 @@ def test_size_bounds_are_tight():
         low, high = license_scan.size_bounds(n, 0.8)
         reach = [m for m in range(1, 200) if 2 * min(m, n) / (m + n) >= 0.8]
         assert reach == [m for m in range(1, 200) if low - 1e-9 <= m <= high + 1e-9]
+        shared = min(s for m in reach for s in range(min(m, n) + 1) if 2 * s / (m + n) >= 0.8)
+        assert license_scan.least_shared(n, 0.8) == shared
 
 
 def brute_base(text):
