@@ -261,12 +261,13 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     lang_pred is 'und' with score 0 for a null text, one without a letter, or a model without
     languages; of equal probabilities the first language wins. A null id is not held out; repeated
     rows come out as often; no rows give no rows; other columns are ignored."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    parts = (model.langs, model.table, model.u, model.c, model.w, model.b)
+    shared = docs.sparkSession.sparkContext.broadcast(parts)
 
     def make():
-        if not shared.value.langs:
+        if not shared.value[0]:
             return lambda texts: [[UNKNOWN] * len(texts), [0.0] * len(texts)]
-        return Predictor(shared.value)
+        return Predictor(Model(*shared.value))
 
     rows = docs.select(col(id_col).alias("doc_id"), (fold_of(col(id_col)) == HELD_OUT).alias("held_out"), col(text_col).alias("text"))
     fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
