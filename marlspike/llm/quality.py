@@ -142,17 +142,20 @@ def certified(k: int, n: int, risk: float, delta: float) -> bool:
     return log_binomial_tail(k, n, risk) <= math.log(delta)
 
 
-def choose_cutoffs(n: int, rejected: dict[str, list[int]], risk: float, delta: float) -> dict[str, float]:
-    """The strictest certified cutoff of each feature; rejected[f][i] of n good documents exceed GRID[f][i].
+def choose_cutoffs(n: int, rejected: dict[str, list[int]], caught: dict[str, list[int]], risk: float, delta: float) -> dict[str, float]:
+    """For each feature the certified cutoff that catches most bad documents, the laxest of equal ones; none if it catches none.
 
-    A feature has an equal part of the risk. Cutoffs are tested in fixed order, lax to strict, up to
-    the first that fails, which needs no correction for their number."""
+    rejected[f][i] of n good documents and caught[f][i] bad ones exceed GRID[f][i]. A feature has an
+    equal part of the risk. Cutoffs are tested in fixed order, lax to strict, up to the first that
+    fails: that needs no correction for their number, and any of those that passed may be chosen."""
     out = {}
     for name, counts in rejected.items():
-        for cutoff, k in zip(GRID[name], counts, strict=True):
+        most = 0
+        for cutoff, k, bad in zip(GRID[name], counts, caught[name], strict=True):
             if not certified(k, n, risk / len(GRID), delta):
                 break
-            out[name] = cutoff
+            if bad > most:
+                out[name], most = cutoff, bad
     return out
 
 
@@ -162,16 +165,17 @@ def fit(features: DataFrame, labels: DataFrame, risk: float = RISK, delta: float
     A document is good if all its labels say 1. Those that the base rules reject anyway don't count.
     delta is divided by the number of strata and features. All labelled documents are counted, in
     Spark; only one row of counts for each of the max_strata largest strata comes to the driver."""
-    good = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1")
-    known = features.join(good.select("doc_id"), "doc_id").where(~base_failed(F.col("n_words"), F.col("n_repeat_words")))
+    judged = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg((F.min("quality") == 1).alias("good"))
+    known = features.join(judged, "doc_id").where(~base_failed(F.col("n_words"), F.col("n_repeat_words")))
     value = ratios({f: F.col(f) for f in FEATURES})
-    counts = [F.count_if(value[f] > c).alias(f"{f}_{i}") for f, cs in GRID.items() for i, c in enumerate(cs)]
-    per = known.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *counts)
+    counts = [F.count_if((value[f] > c) & which).alias(f"{name}_{f}_{i}") for f, cs in GRID.items() for i, c in enumerate(cs) for name, which in (("good", F.col("good")), ("bad", ~F.col("good")))]
+    per = known.groupBy("stratum").agg(F.count_if("good").alias("n"), *counts)
     rows = per.orderBy(F.desc("n"), F.asc_nulls_last("stratum")).limit(max_strata).collect()
     part = delta / max(1, len(rows)) / len(GRID)
     chosen = []
     for r in rows:
-        cut = choose_cutoffs(r["n"], {f: [r[f"{f}_{i}"] for i in range(len(cs))] for f, cs in GRID.items()}, risk, part)
+        good, bad = ({f: [r[f"{name}_{f}_{i}"] for i in range(len(cs))] for f, cs in GRID.items()} for name in ("good", "bad"))
+        cut = choose_cutoffs(r["n"], good, bad, risk, part)
         chosen.append((r["stratum"], *[cut.get(f) for f in GRID]))
     stratum = T.StructField("stratum", features.schema["stratum"].dataType)
     return features.sparkSession.createDataFrame(chosen, T.StructType([stratum] + [T.StructField(f, T.DoubleType()) for f in GRID]))

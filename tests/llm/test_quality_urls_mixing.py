@@ -52,7 +52,8 @@ def test_false_rejections_are_rarely_over_the_risk():
         values = [r.random() ** 4 for _ in range(n)]  # good documents
         counts = {f: [n] * len(g) for f, g in quality.GRID.items()}
         counts["symbol_ratio"] = [sum(v > c for v in values) for c in grid]
-        cut = quality.choose_cutoffs(n, counts, risk, delta).get("symbol_ratio")
+        caught = {f: list(range(1, len(g) + 1)) for f, g in quality.GRID.items()}  # stricter ones catch more
+        cut = quality.choose_cutoffs(n, counts, caught, risk, delta).get("symbol_ratio")
         over += cut is not None and 1 - cut**0.25 > risk / len(quality.GRID)
     assert over <= 200 * delta
 
@@ -81,13 +82,16 @@ def test_quality_report_and_stage(spark, monkeypatch):
 
     # cutoffs by brute force
     texts, lang = {r[0]: r[1] for r in rows}, {r[0]: r[2] if len(r) > 2 else "en" for r in rows}
-    good = collections.defaultdict(list)
+    good, bad = collections.defaultdict(list), collections.defaultdict(list)
     for i, q, _ in labels:
-        if q == 1 and not brute_quality(texts[i])[5]:
-            good[lang[i]].append(quality_ratios(texts[i]))
+        if not brute_quality(texts[i])[5]:
+            (good if q == 1 else bad)[lang[i]].append(quality_ratios(texts[i]))
     part = quality.DELTA / len(good) / len(quality.GRID)
-    cuts = {s: quality.choose_cutoffs(len(v), {f: [sum(x[f] > c for x in v) for c in g] for f, g in quality.GRID.items()}, quality.RISK, part) for s, v in good.items()}
-    assert cuts["en"].get("symbol_ratio") is not None and cuts["rare"] == {}
+    over = lambda rows: {f: [sum(x[f] > c for x in rows) for c in g] for f, g in quality.GRID.items()}
+    cuts = {s: quality.choose_cutoffs(len(v), over(v), over(bad[s]), quality.RISK, part) for s, v in good.items()}
+    assert set(cuts["en"]) == {"symbol_ratio"} and cuts["rare"] == {}
+    caught = sum(x["symbol_ratio"] > cuts["en"]["symbol_ratio"] for x in bad["en"])
+    assert caught > 0.4 * len(bad["en"])
     want = [(r[0], not brute_quality(r[1])[5] and all(quality_ratios(r[1])[f] <= c for f, c in cuts.get(r[2], {}).items())) for r in rows]
     assert sorted([(r.doc_id, r.kept) for r in out], key=key) == sorted(want, key=key)
 
