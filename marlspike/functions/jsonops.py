@@ -17,19 +17,25 @@ from marlspike.errors import FilterError
 from marlspike.plans.fields import parse_path
 
 
-def path_text(segments: Sequence[str]) -> str:
-    """A path for get_json_object and variant_get."""
-    return "$" + "".join(f"[{s}]" if s.isdigit() else key_text(s)[1:] for s in segments)
+def key_text(key: str) -> str:
+    """The path of a key of an object, digits or not. Paths have no escapes, only two kinds of quotes."""
+    if "'" not in key:
+        return f"$['{key}']"
+    if '"' not in key:
+        return f'$["{key}"]'
+    raise FilterError(f"the key {key!r} has both kinds of quotes: no path can name it")
 
 
-def key_text(key: str) -> str:
-    """The path of a key of an object, digits or not."""
-    return "$['" + key.replace("\\", "\\\\").replace("'", "\\'") + "']"
+def path_text(segments: Sequence[str]) -> str:
+    """A path for variant_get, and for get_json_object if no key has a single quote."""
+    return "$" + "".join(f"[{s}]" if s.isdigit() else key_text(s)[1:] for s in segments)
 
 
 def extract(c: Column, path: Sequence[str] | str) -> Column:
     """The value at the path as text; null where it is missing or JSON null."""
     segments = parse_path(path) if isinstance(path, str) else list(path)
+    if any("'" in s for s in segments):
+        return F.try_variant_get(F.try_parse_json(c), path_text(segments), "string")
     return F.get_json_object(c, path_text(segments))
 
 
@@ -41,7 +47,7 @@ def extract_json(c: Column, path: Sequence[str]) -> Column:
 def has_key(c: Column, key: str) -> Column:
     """Whether an object has the key, at the end of a dotted path; a JSON null counts as a value."""
     *parents, leaf = parse_path(key)
-    inner = F.get_json_object(c, path_text(parents)) if parents else c
+    inner = extract_json(c, parents) if parents else c
     return F.coalesce(F.array_contains(F.json_object_keys(inner), leaf), F.lit(False))
 
 
@@ -54,6 +60,8 @@ def contains(c: Column, fragment: Any) -> Column:
             fragment = json.loads(fragment)
         except ValueError:
             raise FilterError(f"{fragment!r} is no JSON") from None
+    if _unnamed(fragment):
+        return _contains_udf(c, F.lit(json.dumps(fragment)))
     v = F.try_parse_json(c)
     out = _inside(v, fragment)
     if not isinstance(fragment, (list, dict)):
@@ -62,6 +70,13 @@ def contains(c: Column, fragment: Any) -> Column:
     return F.when(c.isNotNull(), F.coalesce(out, F.lit(False)))
 
 
+def _unnamed(x: Any) -> bool:
+    """Whether a key has both kinds of quotes, so that no path names it."""
+    if isinstance(x, dict):
+        return any(("'" in k and '"' in k) or _unnamed(v) for k, v in x.items())
+    return isinstance(x, list) and any(map(_unnamed, x))
+
+
 def _elements(v: Column) -> Column:
     return F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array().cast("array<variant>"))
 
