@@ -6,6 +6,8 @@ scans, comma joins with an equality become equi-joins, ORDER BY with LIMIT becom
 from __future__ import annotations
 
 import copy
+import enum
+import re
 from collections.abc import Callable
 from typing import Any
 
@@ -78,11 +80,13 @@ class Select:
         self.orders: list[tuple[Any, bool]] = []
         self.max: int | None = None
         self.offset = 0
+        self.bindings: dict[str, Any] = {}
+        self.is_distinct = False
         self._made = 0
 
     def copy(self) -> Select:
         out = copy.copy(self)
-        for k in ("sources", "main_alias", "from_aliases", "joins", "items", "groups", "orders"):
+        for k in ("sources", "main_alias", "from_aliases", "joins", "items", "groups", "orders", "bindings"):
             setattr(out, k, copy.copy(getattr(self, k)))
         out.filters = Filters()
         out.filters.root.cond, out.filters.root.items = self.filters.root.cond, list(self.filters.root.items)
@@ -191,6 +195,23 @@ class Select:
             raise QueryError(f"{alias} has no column {name!r}")
         return name
 
+    def distinct(self, on: bool = True) -> Select:
+        """Rows once each, after HAVING and before ORDER BY, which then needs selected columns."""
+        self.is_distinct = on
+        return self
+
+    # bindings
+
+    def bind(self, name: str, value: Any) -> Select:
+        """A value for `:name` on the right of a filter, or for `:name` in raw expressions of this query's WHERE."""
+        self.bindings[name.lstrip(":")] = value.value if isinstance(value, enum.Enum) else value
+        return self
+
+    def bind_all(self, values: dict[str, Any]) -> Select:
+        for k, v in values.items():
+            self.bind(k, v)
+        return self
+
     # WHERE, GROUP BY, HAVING, ORDER BY, LIMIT
 
     def where(self, *items: Any) -> Select:
@@ -260,7 +281,21 @@ class Select:
         return None
 
     def expression(self, text: str) -> SparkColumn:
-        return F.expr(text)
+        return F.expr(self._bound(text))
+
+    def _bound(self, text: str) -> str:
+        """The text with literals for the names bound; anything else after a colon stays."""
+        if not self.bindings:
+            return text
+
+        def literal(m: Any) -> str:
+            if m[1] is None or m[1] not in self.bindings:
+                return m[0]
+            v = self.bindings[m[1]]
+            values = list(dict.fromkeys(v)) if isinstance(v, (list, tuple)) else [v]
+            return ", ".join("NULL" if x is None else quote(x) if isinstance(x, str) else str(x).lower() if isinstance(x, bool) else str(x) for x in values) or "NULL"
+
+        return re.sub(r"'(?:[^'\\]|\\.)*'|`[^`]*`|(?<![:\w]):(\w+)", literal, text)
 
     def _value(self, what: Any) -> SparkColumn:
         """A select item, group or order key: a field if it is one, else an expression."""
@@ -354,6 +389,10 @@ class Select:
                 df = df.where("_h")
         else:
             df = df.select(*hidden, *sorts)
+        if self.is_distinct:
+            if any(not (isinstance(k, str) and k in by_name) for k, _ in self.orders):
+                raise QueryError("DISTINCT can only be ordered by output names")
+            df = df.distinct()
         if self.orders:
             df = df.orderBy(*[F.col(f"_o{i}").asc_nulls_first() if up else F.col(f"_o{i}").desc_nulls_last() for i, (_, up) in enumerate(self.orders)])
         if self.max is not None:

@@ -154,7 +154,7 @@ class Filters:
         if op in ("in", "not_in"):
             if isinstance(right, (set, frozenset, tuple)):
                 right = list(right)
-            if not (isinstance(right, (list, Raw, DataFrame)) or hasattr(right, "to_df")):
+            if not (isinstance(right, (list, Raw, DataFrame)) or hasattr(right, "to_df") or (isinstance(right, str) and right[:1] == ":")):
                 raise FilterError(f"{op} takes a list, a query or an expression")
         if isinstance(left, str) and self.scope is not None:
             left = self.scope.check(parse_field(left) if is_field(left) else None)
@@ -372,6 +372,11 @@ def right_value(v: Any, declared: cat.Column | None, r: Resolver) -> SparkColumn
 def _leaf(leaf: Leaf, r: Resolver) -> SparkColumn:
     found = _left(leaf.left, r)
     c, declared, op, right = found.column, found.declared, leaf.op, leaf.right
+    bound = getattr(r, "bindings", None) or {}
+    if isinstance(right, str) and right.startswith(":") and right[1:] in bound:
+        right = bound[right[1:]]
+        if right is None and op in ("eq", "neq"):
+            op = "is_null" if op == "eq" else "is_not_null"
     if found.path:
         if declared is not None and not (isinstance(declared.type, Json) and declared.type.native()):
             raise FilterError(f"column {declared.name} holds no JSON that a path can enter")
@@ -397,7 +402,9 @@ def _leaf(leaf: Leaf, r: Resolver) -> SparkColumn:
     if op == "has_key":
         return jsonops.has_key(c, right)
     if op in ("in", "not_in"):
-        if isinstance(right, list):
+        if isinstance(right, str):
+            raise FilterError(f"no value is bound to {right}")
+        if isinstance(right, (list, tuple)):
             known = [x.value if isinstance(x, enum.Enum) else x for x in right]
             known = list(dict.fromkeys(known if declared is None else [declared.type.cast_for_filter(x) for x in known]))
             if not known:

@@ -140,10 +140,23 @@ def q_filter_not_in_subquery(c):
     return _from(c, "customer", "c").select("c", ["custkey"]).where(Filters().not_in("c.custkey", sub))
 
 
-@_query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT nullif(o_custkey, 1) FROM orders)")
+@_query("SELECT c_custkey, c_custkey NOT IN (SELECT nullif(o_custkey, 1) FROM orders WHERE o_custkey < 20) AS outside FROM customer WHERE c_custkey < 50")
 def q_filter_not_in_nulls(c):
-    sub = _from(c, "orders", "o").select(None, ["nullif(o.o_custkey, 1) AS k"])
-    return _from(c, "customer", "c").select("c", ["custkey"]).where(Filters().not_in("c.custkey", sub))
+    # with a null among the values, what is not found is unknown, not outside
+    sub = _from(c, "orders", "o").select(None, ["nullif(o.o_custkey, 1) AS k"]).where(Filters().lt("o.custkey", 20))
+    q = _from(c, "customer", "c").where(Filters().lt("c.custkey", 50))
+    return q.select("c", ["custkey"]).select(None, [Filters().not_in("c.custkey", sub).to_column(q).alias("outside")])
+
+
+@_query("SELECT o_orderkey FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_totalprice > 200000 AND o_custkey <> 7")
+def q_filter_bindings(c):
+    q = _from(c, "orders", "o").select("o", ["orderkey"]).bind_all({"list": ["1-URGENT", "2-HIGH"], "low": 200000, "skip": 7})
+    return q.where(Filters().in_("orderpriority", ":list").gt("totalprice", ":low")).where("o.o_custkey <> :skip")
+
+
+@_query("SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders")
+def q_select_distinct(c):
+    return _from(c, "orders", "o").select("o", ["orderstatus", "orderpriority"]).distinct()
 
 
 @_query("SELECT o_orderkey FROM orders WHERE (o_totalprice > 200000) = true AND (o_orderstatus = 'F') = false")

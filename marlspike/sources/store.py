@@ -118,6 +118,12 @@ class ParquetStore(Store):
                 found.append(int(name[1:]))
         return sorted(found)
 
+    def create(self, tables: list[Table]) -> None:
+        """An empty first version of each table that has none: the schema, written down."""
+        for t in tables:
+            if not self.versions(t):
+                self.publish(t, self.spark.createDataFrame([], t.struct()))
+
     def load(self, table: Table) -> DataFrame:
         seen = self.versions(table)
         if not seen:

@@ -119,9 +119,11 @@ def test_parquet_versions(spark, tmp_path):
     c.table_builder("notes", lambda t: t.id().string("body").index("body"))
     c.freeze()
     assert c.read("notes").count() == 0
+    c.store.create(list(c.tables.values()))
+    c.store.create(list(c.tables.values()))
     Insert(c, "notes").values([{"body": "a"}, {"body": "b"}]).execute()
     Update(c, "notes").set({"body": expr("upper(body)")}).where(Filters().eq("id", 2)).execute()
-    assert pairs(c.read("notes"), "id", "body") == [(1, "a"), (2, "B")] and c.store.versions(c.table("notes")) == [1, 2]
+    assert pairs(c.read("notes"), "id", "body") == [(1, "a"), (2, "B")] and c.store.versions(c.table("notes")) == [1, 2, 3]
 
 
 def test_jdbc_options(spark):

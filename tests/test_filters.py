@@ -131,9 +131,6 @@ def test_json_filters(c):
         ids(c, Filters().has_key("first_name", "a"))
 
 
-JSON = st.recursive(st.none() | st.booleans() | st.integers(-3, 3) | st.sampled_from(["", "a", "1"]), lambda x: st.lists(x, max_size=2) | st.dictionaries(st.sampled_from(["a", "b", "0", "it's"]), x, max_size=2), max_leaves=5)
-
-
 def test_containment_equals_rule(spark):
     import json
 

@@ -1,10 +1,11 @@
 import pytest
 from pyspark.sql import functions as F
 
-from marlspike.errors import QueryError
+from marlspike.errors import FilterError, QueryError
 from marlspike.operators.select import Select, expr, fn, quote
 from marlspike.plans.fields import Field
 from marlspike.plans.filters import Filters
+from marlspike.querylog import QueryLog
 from marlspike.sources.sql import Bindings, expand_lists, run_script, run_sql, split_script
 from tests.bank import bank
 
@@ -53,7 +54,7 @@ def test_joins(c):
         j = s.join(kind, "k").to("accounts", "a")
         if on:
             j.on(Filters().eq("k.id", Field("client_id", "a")).gt("a.balance", 5))
-        return s.select("a", ["id"]).order_by("client_id" if False else "k.id", "a.id")
+        return s.select("a", ["id"]).order_by("k.id", "a.id")
 
     assert rows(q("inner")) == [(1, 1), (1, 2)]
     assert rows(q("left")) == [(1, 1), (1, 2), (2, None), (3, None)]
@@ -63,7 +64,7 @@ def test_joins(c):
         Select(c).from_("clients", "k").join("full", "k")
     with pytest.raises(QueryError):
         Select(c).from_("clients", "k").left_join("a")
-    tree = Select(c).from_("clients", "k").select("x", ["reference"]) if False else Select(c).from_("clients", "k")
+    tree = Select(c).from_("clients", "k")
     tree.inner_join("k").to("accounts", "a").on("k.client_id = a.account_client_id")
     tree.left_join("a").to("transactions", "x").on("a.account_id = x.transaction_account_id")
     assert rows(tree.select("k", ["id"]).select("x", ["reference"]).order_by("x.reference")) == [(1, "r1"), (1, "r2"), (1, "r3"), (2, "r4")]
@@ -106,3 +107,29 @@ def test_raw_sql(spark, c):
     assert expand_lists("x IN (:a) AND :ab", {"a": [1, 1, 2], "ab": 3}) == ("x IN (:a_0, :a_1) AND :ab", {"a_0": 1, "a_1": 2, "ab": 3})
     assert split_script("SELECT ';' ; -- x;\nSELECT 1 /* ; */; SELECT \"a;\"") == ["SELECT ';'", "SELECT 1", 'SELECT "a;"']
     assert rows(run_script(spark, "CREATE OR REPLACE TEMP VIEW v1 AS SELECT 7 AS x; SELECT x + 1 FROM v1")[-1]) == [(8,)]
+
+
+def test_bindings(c):
+    q = lambda: Select(c).from_("transactions", "x").select("x", ["id"])
+    assert rows(q().bind("s", "refunded").where(Filters().eq("state", ":s"))) == [(2,)]
+    assert sorted(rows(q().bind_all({"l": ["confirmed", "in_error"], "m": 2}).where(Filters().in_("state", ":l").gt("amount", ":m")))) == [(3,), (4,)]
+    assert sorted(rows(q().bind(":l", [1, 4]).bind("t", "it's").where("x.transaction_id IN (:l) AND :t <> ':l'"))) == [(1,), (4,)]
+    assert rows(q().bind("n", None).where(Filters().eq("reference", ":n"))) == [] and rows(q().where(Filters().eq("reference", ":r"))) == []
+    with pytest.raises(FilterError):
+        q().where(Filters().in_("state", ":nothing")).to_df()
+
+
+def test_distinct(c):
+    q = Select(c).from_("accounts", "a").select("a", ["currency_code"]).distinct()
+    assert rows(q.order_by("account_currency_code").limit(5)) == [("EUR",), ("USD",)]
+    with pytest.raises(QueryError):
+        q.order_by("a.balance").to_df()
+
+
+def test_query_log(c):
+    log = QueryLog(most=2)
+    df = Select(c).from_("accounts", "a").to_df()
+    assert len(log.run(df)) == 3 and log.run(df, lambda d: d.count(), "n") == 3
+    with pytest.raises(ZeroDivisionError):
+        log.run(df, lambda d: 1 / 0, "bad")
+    assert [e.name for e in log.entries] == ["n", "bad"] and len(log.slowest(1)) == 1 and all(e.duration >= 0 and e.plan for e in log.entries)
