@@ -18,8 +18,8 @@ from marlspike.llm.common import col, map_text
 
 #: Units of each direction, bytes of a window, windows computed at once.
 HIDDEN, WINDOW, BATCH = 12, 128, 2048
-#: Training: documents of each language at most (the bound of the sample), windows of each, bytes of those.
-DOCS_PER_LANG, WINDOWS_PER_DOC, TRAIN_WINDOW = 300, 6, 64
+#: Training: languages (the most frequent) and documents of each at most: the bounds of the sample. Windows of each document, bytes of those.
+MAX_LANGS, DOCS_PER_LANG, WINDOWS_PER_DOC, TRAIN_WINDOW = 256, 300, 6, 64
 STEPS, TRAIN_BATCH, RATE, SEED = 350, 256, 0.02, 7
 #: Share of documents that are held out, by crc32 of the id: remainder HELD_OUT of FOLDS.
 FOLDS, HELD_OUT = 3, 1
@@ -223,10 +223,11 @@ def fold_of(doc_id: Column) -> Column:
 def fit(docs: DataFrame, per_lang: int = DOCS_PER_LANG, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Train on documents outside the held-out fold that have a language and a text.
 
-    Of each language at most per_lang documents, those with the smallest hashes of their ids, give
-    up to WINDOWS_PER_DOC windows each, spread over the text: a bounded sample, whatever the size of docs."""
+    Of each of the MAX_LANGS most frequent languages at most per_lang documents, those with the
+    smallest hashes of their ids, give up to WINDOWS_PER_DOC windows each, spread over the text: a
+    bounded sample, whatever the size of docs. Rows that repeat an id count once."""
     known = docs.select(col(id_col).alias("id"), col(text_col).alias("text"), col(lang_col).alias("lang")).where((fold_of(F.col("id")) != HELD_OUT) & F.col("lang").isNotNull() & (F.length("text") > 0))
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()}
     if not counts:
         return new_model([])
     langs = sorted(counts)
@@ -235,7 +236,9 @@ def fit(docs: DataFrame, per_lang: int = DOCS_PER_LANG, id_col: str = "doc_id",
     place = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / float(1 << 20)
     n = F.length("text")
     spread = F.transform(F.sequence(F.lit(0), F.lit(WINDOWS_PER_DOC - 1)), lambda i: F.substring("text", (n * i / WINDOWS_PER_DOC).cast("int") + 1, F.lit(TRAIN_WINDOW)))
-    rows = known.where(place < share).select("lang", "id", place.alias("place"), spread.alias("parts")).collect()
+    near = known.where(place < share).select("lang", "id", place.alias("place"), spread.alias("parts"))
+    once = near.groupBy("lang", "id").agg(F.min("place").alias("place"), F.min("parts").alias("parts"))
+    rows = once.orderBy("place", "lang", "id").limit(2 * per_lang * len(langs)).collect()
     rows.sort(key=lambda r: (r["lang"], r["place"], str(r["id"]), r["parts"]))
     taken: dict[str, int] = {}
     cut, y = [], []

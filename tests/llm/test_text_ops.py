@@ -125,6 +125,8 @@ def test_language_id_held_out_accuracy(spark, monkeypatch):
     test = [(r[2], out[r[0]].lang_pred) for r in rows if held_out(r[0]) and len(r[1]) > 40]
     assert np.mean([a == b for a, b in test]) > 0.97
     assert (out[9000].lang_pred, out[9000].score, out[9001].lang_pred, out[None].lang_pred) == ("und", 0.0, "und", "de")
+    hot = docs_of(spark, [(1, f"the same id {i}", "en") for i in range(900)] + rows)
+    assert len(language_id.fit(hot, per_lang=20).langs) == 2
     none = language_id.identify(docs_of(spark, []))
     assert none.count() == 0
     assert {r.lang_pred for r in language_id.identify(docs_of(spark, [(1, "text", None)])).collect()} == {"und"}
