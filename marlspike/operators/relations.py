@@ -231,7 +231,10 @@ class Relation:
         return out.groupBy(HOST_KEY).agg(last).select(HOST_KEY, *[F.col("_last").getField(c).alias(c) for c in names])
 
     def batch_nested(self, catalog: Catalog, hosts: DataFrame | None = None, include_deleted: bool = False, limit: int | None = None) -> DataFrame:
-        """Every host's key, with its relatives in a list (or one struct): [] or null if it has none."""
+        """Every host's key, with its relatives in a list (or one struct): [] or null if it has none.
+
+        A list is as long as its host has relatives; with limit, Spark cuts each host's rows before it
+        shuffles them. Use batch() for hosts with more relatives than a row should hold."""
         hosts = catalog.read(self.host) if hosts is None else hosts
         keys = hosts.select(self.key()).distinct()
         found = self.batch_one(catalog, hosts, include_deleted) if self.one else self.batch(catalog, hosts, include_deleted, limit)

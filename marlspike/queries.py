@@ -77,7 +77,7 @@ def q_select_dedup(c):
     return _from(c, "customer", "c").select("c", ["custkey", "name"]).select("c", ["custkey"])
 
 
-@_query("SELECT p_partkey, concat(p_brand, '-', upper('x'), '-', p_size + 1) AS code, NULL AS nothing, true AS yes FROM part")
+@_query("SELECT p_partkey, concat(p_brand, '-', upper('x'), '-', p_size + 1) AS code, CAST(NULL AS INTEGER) AS nothing, true AS yes FROM part")
 def q_functions(c):
     return _from(c, "part", "p").select("p", ["partkey"]).select(None, [fn("concat", expr("p.p_brand"), "-", fn("upper", "x"), "-", expr("cast(p.p_size + 1 as string)")).alias("code"), F.lit(None).cast("int").alias("nothing"), F.lit(True).alias("yes")])
 
@@ -263,7 +263,7 @@ def q_join_self(c):
     return q.select("b", {"name": "b"})
 
 
-@_query("SELECT c_nationkey, sum(n) AS n FROM (SELECT c_nationkey, count(*) AS n FROM customer WHERE c_acctbal > 0 GROUP BY c_nationkey, c_mktsegment) GROUP BY c_nationkey")
+@_query("SELECT c_nationkey, CAST(sum(n) AS BIGINT) AS n FROM (SELECT c_nationkey, count(*) AS n FROM customer WHERE c_acctbal > 0 GROUP BY c_nationkey, c_mktsegment) GROUP BY c_nationkey")
 def q_derived_table(c):
     sub = _from(c, "customer", "c").select("c", ["nationkey"]).select(None, ["count(*) AS n"]).where("c.c_acctbal > 0").group_by("c.nationkey", "c.mktsegment")
     return Select(c).from_(sub, "s").select("s", ["c_nationkey"]).select(None, ["sum(s.n) AS n"]).group_by("s.c_nationkey")
@@ -308,7 +308,7 @@ def q_group_by_expr(c):
     return _from(c, "part", "p").select("p", ["brand"]).select(None, ["p.p_size % 5 AS bucket", "count(*) AS n"]).group_by("p.brand", "p.p_size % 5")
 
 
-@_query("""SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn,
+@_query("""SELECT o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INTEGER) AS rn,
 round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey), 2) AS running FROM orders""")
 def q_window_raw(c):
     return _from(c, "orders", "o").select("o", ["orderkey"]).select(None, ["row_number() OVER (PARTITION BY o.o_custkey ORDER BY o.o_orderkey) AS rn", "round(sum(o.o_totalprice) OVER (PARTITION BY o.o_custkey ORDER BY o.o_orderkey), 2) AS running"])
@@ -526,7 +526,7 @@ def q_dml_returning(c):
     return u.change().affected.select("s_suppkey", "s_name")
 
 
-@_query("SELECT c_custkey, c_name, c_custkey <= 50 OR c_custkey % 7 = 0 AS deleted, CASE WHEN c_custkey % 7 = 0 THEN 5 WHEN c_custkey <= 50 THEN 1000 END AS deleted_at FROM customer")
+@_query("SELECT c_custkey, c_name, c_custkey <= 50 OR c_custkey % 7 = 0 AS deleted, CAST(CASE WHEN c_custkey % 7 = 0 THEN 5 WHEN c_custkey <= 50 THEN 1000 END AS BIGINT) AS deleted_at FROM customer")
 def q_soft_delete(c):
     m = Catalog(c.spark)
     m.table_builder("customer", lambda t: t.bigint("c_custkey").string("c_name").soft_deletable().primary("c_custkey"))

@@ -17,7 +17,7 @@ class Store:
     """Reads tables; stores that write keep what a unit of work has staged until it commits."""
 
     def __init__(self) -> None:
-        self._levels: list[dict[str, DataFrame]] = []
+        self._levels: list[dict[str, tuple[Table, DataFrame]]] = []
 
     def load(self, table: Table) -> DataFrame:
         raise NotImplementedError
