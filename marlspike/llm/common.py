@@ -18,7 +18,9 @@ SPACES = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Bytes of text handed to a text function at once; a longer text goes alone.
-CHUNK_BYTES = 4_000_000
+CHUNK_BYTES = 2_000_000
+#: Bytes of an Arrow batch on its way to Python. Spark bounds only the rows by default, whatever their length.
+BATCH_BYTES = 8_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -82,11 +84,20 @@ def ordered(key: Column) -> Column:
     return F.struct(key.isNull().alias("absent"), key.alias("key"))
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Have the session close Arrow batches at BATCH_BYTES, unless it has a smaller bound."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, str((1 << 31) - 2)).lower().rstrip("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def map_text(df: DataFrame, text: str, fields: list[T.StructField], make: Callable[[], Callable[[list[str | None]], list]], keep: list[str] | None = None) -> DataFrame:
     """Columns `keep` of df (all by default) and new ones that make() computes from whole texts.
 
     make() runs once in each task and returns a function from a list of texts to one sequence per
     new field. It gets a few MB of text at a time, so memory does not depend on the batch size."""
+    bound_batches(df.sparkSession)
     keep = df.columns if keep is None else keep
     (source,) = fresh(df, "text_in")
     cols = [col(c) for c in keep]

@@ -14,8 +14,8 @@ from marlspike.llm.common import SPACES, checkpoint, col, map_text, path_exists
 
 #: Part of every tokenizer digest: counts made under another rule of normalisation are not used.
 RULE = "1"
-#: Words whose counts a task keeps at once.
-MEMO_WORDS = 300_000
+#: Words whose counts a task keeps at once, and words encoded in one call: results hold much more than ids.
+MEMO_WORDS, CALL_WORDS = 300_000, 8192
 #: Up to so many misses, their digests (32 bytes each) go to every task and select the texts there.
 BROADCAST_MISSES = 100_000
 SCHEMA = "content binary, tokenizer string, n_tokens long"
@@ -79,8 +79,9 @@ class Counter:
         if len(self.memo) > MEMO_WORDS:
             self.memo.clear()
         new = list({w for x in words for w in x} - self.memo.keys())
-        if new:
-            self.memo.update(zip(new, self.count(new)))
+        for at in range(0, len(new), CALL_WORDS):
+            part = new[at : at + CALL_WORDS]
+            self.memo.update(zip(part, self.count(part)))
         get = self.memo.__getitem__
         return [sum(map(get, x)) for x in words]
 
