@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlspike.llm import byte_bpe, common, exact_dedup, mixing, quality, simhash
+from marlspike.llm import byte_bpe, common, exact_dedup, mixing, quality, simhash, similar
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -22,8 +22,11 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates, the document with the smallest doc_id stays."""
-    return simhash.keep_one(docs)
+    """Of each component of near duplicates, the document with the smallest doc_id stays.
+
+    Documents are near duplicates if their 64-bit fingerprints differ by 3 bits or less, or if their
+    five-word shingles have a similarity of 0.8 or more by long fingerprints."""
+    return simhash.keep_one(docs, groups=similar.similar_groups(docs))
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -142,9 +142,12 @@ def assign(marked: DataFrame) -> DataFrame:
     return marked.join(by_fp, "fp")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups: DataFrame | None = None) -> DataFrame:
     """The rows of docs without near duplicates: of each component, the document with its smallest id.
 
+    groups (doc_id, component_id), like those of similar.similar_groups(), are further components:
+    a document has to be the first of its own in both to stay.
+
     An id stands for one document: rows that repeat it count as copies, of which one stays, that
     with the smallest hash of its text. Rows without an id stay only if their component has none."""
     gone_id, same, best, fp, its_fp, part = fresh(docs, "gone_id", "same", "best", "fp", "its_fp", "part")
@@ -153,6 +156,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     ids = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("n"))
     odd = checkpoint(ids.where((F.col("doc_id") != F.col("component_id")) | (F.col("n") > 1)))
     dropped = odd.where("doc_id <> component_id").select(F.col("doc_id").alias(gone_id))
+    if groups is not None:
+        dropped = dropped.unionByName(groups.where("doc_id <> component_id").select(F.col("doc_id").alias(gone_id))).distinct()
     names = docs.columns
 
     def one_each(df: DataFrame, key: str) -> DataFrame:

@@ -1,0 +1,91 @@
+import itertools
+import random
+
+import numpy as np
+import pytest
+
+from marlspike.llm import similar
+from tests.llm.helpers import awkward_rows, docs_of
+
+
+def shingles(text):
+    w = text.lower().split()
+    return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def jaccard(a, b):
+    a, b = shingles(a), shingles(b)
+    return len(a & b) / len(a | b)
+
+
+def edited(r, text, n):
+    w = text.split(" ")
+    for i in r.sample(range(len(w)), n):
+        w[i] = f"e{r.randrange(10**6)}"
+    return " ".join(w)
+
+
+def prose(r, n):
+    return " ".join(f"w{r.randrange(3000)}" for _ in range(n))
+
+
+def test_similar_pairs_are_found_and_others_not(spark):
+    r = random.Random(1)
+    rows, pairs = [], []
+    for _ in range(150):
+        a = prose(r, r.randint(80, 400))
+        b = edited(r, a, max(1, round(len(a.split()) * r.choice([0.005, 0.01, 0.015, 0.02, 0.1, 0.2]))))
+        pairs.append((len(rows), len(rows) + 1, jaccard(a, b)))
+        rows += [(len(rows), a), (len(rows) + 1, b)]
+    c = {x.doc_id: x.component_id for x in similar.similar_groups(docs_of(spark, rows, extra=True)).collect()}
+    high = [(a, b) for a, b, j in pairs if j >= 0.8]
+    low = [(a, b) for a, b, j in pairs if j < 0.6]
+    assert len(high) > 60 and len(low) > 30
+    assert np.mean([c[a] == c[b] for a, b in high]) >= 0.9
+    assert np.mean([c[a] == c[b] for a, b in low]) <= 0.02
+    partner = {a: b for a, b, _ in pairs}
+    assert all(i == k or partner.get(k) == i for i, k in c.items())  # unlike documents never meet
+
+
+def test_crowd_of_near_copies(spark):
+    r = random.Random(2)
+    base = prose(r, 300)
+    rows = [(i, edited(r, base, r.randint(0, 2))) for i in range(250)] + [(1000 + i, prose(r, 200)) for i in range(250)]
+    c = {x.doc_id: x.component_id for x in similar.similar_groups(docs_of(spark, rows)).collect()}
+    assert sum(c[i] == 0 for i in range(250)) >= 245
+    assert all(c[i] == i for i in range(1000, 1250))
+
+
+def test_odd_rows(spark):
+    out = similar.similar_groups(docs_of(spark, awkward_rows(), extra=True)).collect()
+    c = {r.doc_id: r.component_id for r in out}
+    assert c[4] == c[5] == 4 and c[6] == c[7] == 6 and c[9] == 9 and c[10] == 10  # equal token sequences, and short ones
+    assert not {1, 2, 3, None} & set(c)  # no words or no id
+    assert similar.similar_groups(docs_of(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("n", [2, 1000, 200_000, 10**9, 10**11])
+def test_plan_reaches_recall(n):
+    p = similar.plan(n)
+    d = similar.difference(0.8)
+    one = (1 - d) ** p.bits + p.bits * d * (1 - d) ** (p.bits - 1)
+    assert 1 - (1 - one) ** p.segments >= 0.9 and 16 <= p.bits <= 40 and p.bits * p.segments <= 64 * p.words
+
+
+def test_bits_differ_as_expected():
+    r = random.Random(3)
+    a = prose(r, 600)
+    for n in (2, 6, 20):
+        b = edited(r, a, n)
+        x, y = (similar.long_fingerprint(t, 16) for t in (a, b))
+        got = int(np.bitwise_count(x ^ y).sum()) / 1024
+        assert abs(got - similar.difference(jaccard(a, b))) < 0.06
+    fps = [similar.long_fingerprint(prose(r, 100), 8) for _ in range(30)]
+    assert all(180 < int(np.bitwise_count(a ^ b).sum()) < 332 for a, b in itertools.combinations(fps, 2))
+    assert not similar.long_fingerprint(None, 4).any()
+
+
+def test_segments_hold_all_bits():
+    fp = np.array([0x0123456789ABCDEF, 0xFEDCBA9876543210], np.uint64)
+    whole = int(fp[0]) | int(fp[1]) << 64
+    assert sum(s << (18 * i) for i, s in enumerate(similar.segments_of(fp, 18, 8))) == whole
