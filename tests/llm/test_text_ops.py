@@ -67,6 +67,15 @@ def test_token_counts_equal_library(spark, tmp_path, name):
     assert sorted(map(tuple, out), key=key) == sorted(want, key=key)
 
 
+def test_token_counts_of_random_words():
+    t = token_counts.Tokenizer(P.path("word_bpe_49k.json"))
+    count, lib = token_counts.Counter(t.file, t.kind, t.by_word), Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    r = random.Random(2)
+    pieces = ["a", "The", "HOUSE", "é", "É", "ß", "ΑΣ", "İ", "x́", "'s", "'LL", "'", ".", ",", "!?", ")", '"', "1", "23", "<|endoftext|>", "<|ENDOFTEXT|>", "<", "ʼ", "日本", "_", "-", " ", " ", "\n", "\u00a0", "ªº", "Ⅷ", "ǅ"]
+    texts = ["".join(r.choice(pieces) for _ in range(r.randrange(12))) for _ in range(4000)]
+    assert count(texts) == [len(lib.encode(x, add_special_tokens=False).ids) for x in texts]
+
+
 def test_token_cache(spark, tmp_path, monkeypatch):
     cache = str(tmp_path / "cache")
     t = token_counts.Tokenizer(P.path("word_bpe_49k.json"))
