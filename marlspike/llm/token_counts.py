@@ -15,7 +15,7 @@ from marlspike.llm.common import SPACES, checkpoint, col, map_text, path_exists
 #: Part of every tokenizer digest: counts made under another rule of normalisation are not used.
 RULE = "1"
 #: Words whose counts a task keeps at once, and words encoded in one call: results hold much more than ids.
-MEMO_WORDS, CALL_WORDS = 300_000, 8192
+MEMO_WORDS, CALL_WORDS = 300_000, 32_768
 #: Up to so many misses, their digests (32 bytes each) go to every task and select the texts there.
 BROADCAST_MISSES = 100_000
 SCHEMA = "content binary, tokenizer string, n_tokens long"
