@@ -1,10 +1,12 @@
-"""Near duplicates by a similarity of word shingles, with long SimHash fingerprints.
+"""Near duplicates by an exact Jaccard similarity of word shingles: prefixes, equality joins, components.
 
-A pair whose shingle sets have Jaccard similarity J differs in about a part arccos(2J / (1 + J)) / pi
-of SimHash bits, too many for a 64-bit fingerprint cut into two. So the fingerprint is longer, and is
-cut into as many segments as it takes for one of them to differ by at most one bit with the wanted
-probability. Segments are indexed by one-wildcard variants, as in simhash.py, and found pairs are
-verified by the distance of whole fingerprints."""
+Sets x and y of a similarity t or more share at least t|x| and t|y| members. So if all sets are
+sorted by one order, the first |x| - ceil(t|x|) + 1 members of x and those of y have one in common.
+These prefixes are the keys: no pair is missed. The order has rare shingles first, so that a
+passage many documents share gives no keys to those that have enough else. Pairs that meet are
+decided by the sets themselves, so none below t passes.
+
+plan() and long_fingerprint() estimate the same by SimHash; similar_groups() does without them."""
 
 from __future__ import annotations
 
@@ -30,6 +32,8 @@ SLACK = 1.5
 #: 64-bit words of a fingerprint at least: fewer would tell similarities apart badly.
 LEAST_WORDS = 8
 _HASHES = 1 << 14
+#: Documents whose shingles are counted, and the most frequent shingles that are told apart by their counts.
+SAMPLE, COMMON = 20_000, 100_000
 
 
 @dataclass(frozen=True)
@@ -93,50 +97,136 @@ def segments_of(fp: np.ndarray, bits: int, segments: int) -> list[int]:
     return [whole >> (i * bits) & ((1 << bits) - 1) for i in range(segments)]
 
 
-def _maker(p: Plan, shingle: int):
+def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """Sorted 64-bit hashes of the different shingles; a text of fewer words is one shingle, one without words has none."""
+    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not tokens:
+        return np.zeros(0, np.uint64)
+    line = b" ".join(tokens)
+    lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
+    ends = np.cumsum(lengths + 1) - 1
+    starts = (ends - lengths).tolist()
+    ends = ends.tolist()
+    n = max(1, len(tokens) - shingle + 1)
+    h = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((h(line[a:b]) for a, b in zip(starts[:n], ends[-n:])), np.uint64, n))
+
+
+def set_name(members: np.ndarray) -> int:
+    """A signed 64-bit hash of a set: equal sets have equal names."""
+    name = xxhash.xxh64_intdigest(members.tobytes())
+    return name - (1 << 64) if name >> 63 else name
+
+
+def prefix(members: np.ndarray, common: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """The first members by (count, hash) that a set shares one of with any other of this similarity.
+
+    common, sorted, has the shingles with counts; others count as 0. Any counts give all pairs: they
+    only spare keys."""
+    n = len(members)
+    if not n:
+        return members
+    weight = np.zeros(n, np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, members), len(common) - 1)
+        weight = np.where(common[at] == members, counts[at], 0)
+    return members[np.argsort(weight, kind="stable")[: n - math.ceil(similarity * n - 1e-9) + 1]]
+
+
+def _set_maker(shingle: int):
     def make():
         def run(texts: list[str | None]) -> list:
-            fps = [long_fingerprint(t, p.words, shingle) for t in texts]
-            return [[f.view(np.int64).tolist() for f in fps], [segments_of(f, p.bits, p.segments) for f in fps]]
+            sets = [shingle_set(t, shingle) for t in texts]
+            return [[set_name(x) for x in sets], [x.view(np.int64) for x in sets]]
 
         return run
 
     return make
 
 
-def _distance(a: Column, b: Column, words: int) -> Column:
-    return sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(words)), F.lit(0))
+def _prefix_maker(common, similarity: float, shingle: int):
+    def make():
+        known, counts = common.value
 
+        def run(texts: list[str | None]) -> list:
+            sets = [shingle_set(t, shingle) for t in texts]
+            return [[set_name(x) for x in sets], [len(x) for x in sets], [prefix(x, known, counts, similarity).view(np.int64) for x in sets]]
 
-def links(marked: DataFrame, p: Plan) -> DataFrame:
-    """(a, b) with a < b: verified links between the first words (`node`) of fingerprints (`fp`, `segments`).
+        return run
 
-    Rows of a key are not paired with each other. Each is linked to the first and the last of them in
-    the order of a hash, so a crowd of near copies gives links in proportion to its rows, and one
-    stranger among few does not hide the others. One shuffle of (key, node), no join."""
-    nodes = checkpoint(marked.groupBy("node").agg(F.min_by(F.struct("fp", "segments"), F.xxhash64("fp")).alias("x")).select("node", "x.fp", "x.segments"))
-    masks = F.array(*[F.lit(~(1 << i) & ((1 << p.bits) - 1)).cast("long") for i in range(p.bits)], F.lit((1 << p.bits) - 1).cast("long"))
-    # bits 0-39: the segment without the deleted bit; 40-45: which bit; 46 and up: which segment
-    keys = F.flatten(F.transform("segments", lambda x, s: F.transform(masks, lambda m, i: x.bitwiseAND(m).bitwiseOR(F.shiftleft(i.cast("long"), 40)).bitwiseOR(F.shiftleft(s.cast("long"), 46)))))
-    rows = nodes.select(F.explode(keys).alias("key"), "node")
-    group, order = Window.partitionBy("key"), F.struct(F.xxhash64("node"), F.col("node"))
-    ends = rows.select("node", F.min(order).over(group)["node"].alias("first"), F.max(order).over(group)["node"].alias("last"))
-    near = ends.where("first <> last").select("node", F.explode(F.array("first", "last")).alias("center")).where(F.col("node") != F.col("center"))
-    near = near.where(F.bit_count(F.col("node").bitwiseXOR(F.col("center"))) <= p.near_word)
-    pairs = near.select(F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b")).distinct()
-    fa, fb = nodes.select(F.col("node").alias("a"), F.col("fp").alias("fa")), nodes.select(F.col("node").alias("b"), F.col("fp").alias("fb"))
-    return checkpoint(pairs.join(fa, "a").join(fb, "b").where(_distance(F.col("fa"), F.col("fb"), p.words) <= p.near).select("a", "b"))
+    return make
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, recall: float = RECALL, shingle: int = SHINGLE) -> DataFrame:
+def common_shingles(some: DataFrame, n: int, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles (sorted) and counts of those most frequent in about SAMPLE documents. Only the order of keys depends on them."""
+    part = some.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, n // SAMPLE))) == 0)
+    fields = [T.StructField("name", T.LongType()), T.StructField("members", T.ArrayType(T.LongType()))]
+    sets = map_text(part, "text", fields, _set_maker(shingle), [])
+    top = sets.select(F.explode("members").alias("m")).groupBy("m").agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy(F.desc("n"), "m").limit(COMMON).toArrow()
+    known, counts = top["m"].to_numpy().astype(np.int64).view(np.uint64), top["n"].to_numpy().astype(np.int64)
+    order = np.argsort(known)
+    return known[order], counts[order]
+
+
+def _may_reach(a: dict[str, Column], b: dict[str, Column], similarity: float) -> Column:
+    """Whether two sets can have the similarity, by their sizes and the places of a shared member in their orders."""
+    most = F.least(a["at"], b["at"]) + 1 + F.least(a["size"] - a["at"], b["size"] - b["at"]) - 1
+    return (F.least(a["size"], b["size"]) >= similarity * F.greatest(a["size"], b["size"]) - 1e-9) & (most >= similarity / (1 + similarity) * (a["size"] + b["size"]) - 1e-9)
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, some: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """The pairs (a, b) whose whole sets have the similarity. Only texts of sets in a pair are read again."""
+    pairs = checkpoint(pairs)
+    need = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = nodes.join(need, "node").select("node", F.col("first_id").alias("doc_id"))
+    fields = [T.StructField("name", T.LongType()), T.StructField("members", T.ArrayType(T.LongType()))]
+    # an id may have several texts
+    sets = map_text(some.join(wanted, "doc_id"), "text", fields, _set_maker(shingle), ["node"]).where("node = name")
+    sets = checkpoint(sets.dropDuplicates(["node"]).select("node", "members"))
+    sa, sb = sets.select(F.col("node").alias("a"), F.col("members").alias("ma")), sets.select(F.col("node").alias("b"), F.col("members").alias("mb"))
+    both = F.size(F.array_intersect("ma", "mb"))
+    reach = both * (1 + similarity) >= similarity * (F.size("ma") + F.size("mb")) - 1e-9
+    return checkpoint(pairs.join(sa, "a").join(sb, "b").where(reach).select("a", "b"))
+
+
+def links(nodes: DataFrame, some: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """(a, b) with a < b: verified links between sets of nodes (node, size, prefix, first_id) that leave no similar ones apart.
+
+    First each set of a key is linked to the key's first and last in the order of a hash, which joins
+    a crowd of near copies by links in proportion to its sets. Then all pairs of a key that are still
+    in different components are compared: those in one component need no link of their own."""
+    rows = nodes.select("node", "size", F.posexplode("prefix").alias("at", "key"))
+    group, order = Window.partitionBy("key"), F.struct(F.xxhash64("node"), F.col("node"), F.col("size"), F.col("at"))
+    ends = rows.select("*", F.min(order).over(group).alias("first"), F.max(order).over(group).alias("last"))
+    # most keys have one set: only the others are kept
+    ends = checkpoint(ends.where("first.node <> last.node"))
+    near = ends.select("node", "size", "at", F.explode(F.array("first", "last")).alias("c")).where("node <> c.node")
+    side = lambda x: {n: F.col(x + n) for n in ("size", "at")}
+    near = near.where(_may_reach(side(""), side("c."), similarity))
+    first = _verified(near.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct(), nodes, some, similarity, shingle)
+
+    parts = components(first).withColumnRenamed("component", "part")
+    open_ = ends.select("key", "node", "size", "at").join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
+    open_ = open_.select("*", F.min("part").over(group).alias("low"), F.max("part").over(group).alias("high")).where("low <> high")
+    open_ = checkpoint(open_.select("key", "node", "size", "at", "part"))
+    x, y = (open_.select("key", *[F.col(n).alias(f"{k}{n}") for n in ("node", "size", "at", "part")]) for k in "xy")
+    met = x.join(y, "key").where((F.col("xpart") < F.col("ypart")) & _may_reach(side("x"), side("y"), similarity))
+    met = met.select(F.least("xnode", "ynode").alias("a"), F.greatest("xnode", "ynode").alias("b")).distinct()
+    return first.unionByName(_verified(met, nodes, some, similarity, shingle))
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
     """doc_id and component_id, the smallest id of similar documents, for every row with an id and a word.
 
-    Documents with the same first 64 bits of their fingerprints count as one. Null ids and texts
-    without words are left out: nothing is known to be similar to them."""
+    Documents are similar if their sets of shingles have at least this Jaccard similarity; chains of
+    similar ones are one component. Equal sets count as one. Null ids and texts without words are left
+    out: nothing is known to be similar to them."""
     some = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text")).where(F.col("doc_id").isNotNull() & F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    p = plan(docs.count(), similarity, recall)
-    fields = [T.StructField("fp", T.ArrayType(T.LongType())), T.StructField("segments", T.ArrayType(T.LongType()))]
-    marked = checkpoint(map_text(some, "text", fields, _maker(p, shingle), ["doc_id"]).withColumn("node", F.col("fp")[0]))
-    parts = components(links(marked, p)).withColumnRenamed("component", "part")
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(some, docs.count(), shingle))
+    fields = [T.StructField("node", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("prefix", T.ArrayType(T.LongType()))]
+    marked = checkpoint(map_text(some, "text", fields, _prefix_maker(common, similarity, shingle), ["doc_id"]))
+    first = marked.groupBy("node").agg(F.min("doc_id").alias("first_id"))
+    nodes = checkpoint(marked.dropDuplicates(["node"]).select("node", "size", "prefix").join(first, "node"))
+    parts = components(links(nodes, some, similarity, shingle)).withColumnRenamed("component", "part")
     rows = marked.select("doc_id", "node").join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
     return rows.select("doc_id", "part").join(rows.groupBy("part").agg(F.min("doc_id").alias("component_id")), "part").select("doc_id", "component_id")

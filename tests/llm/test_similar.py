@@ -89,3 +89,18 @@ def test_segments_hold_all_bits():
     fp = np.array([0x0123456789ABCDEF, 0xFEDCBA9876543210], np.uint64)
     whole = int(fp[0]) | int(fp[1]) << 64
     assert sum(s << (18 * i) for i, s in enumerate(similar.segments_of(fp, 18, 8))) == whole
+
+
+def test_crowd_of_strangers_hides_no_pair(spark):
+    r = random.Random(5)
+    passage = prose(r, 160)
+    rows, pairs = [], []
+    for i in range(0, 900, 2):  # strangers of a similarity of about 0.5, and a near pair of each
+        a = passage + " " + prose(r, 70)
+        b = edited(r, a, 4)
+        pairs.append((i, i + 1, jaccard(a, b)))
+        rows += [(i, a), (i + 1, b)]
+    assert jaccard(rows[0][1], rows[2][1]) > 0.4
+    c = {x.doc_id: x.component_id for x in similar.similar_groups(docs_of(spark, rows)).collect()}
+    assert sum(j >= 0.8 for _, _, j in pairs) > 300
+    assert all((c[a] == c[b]) == (j >= 0.8) for a, b, j in pairs)
