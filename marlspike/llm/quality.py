@@ -159,11 +159,36 @@ def choose_cutoffs(n: int, rejected: dict[str, list[int]], caught: dict[str, lis
     return out
 
 
+def usefulness(n: int, good: dict[str, list[int]], bad: dict[str, list[int]], risk: float) -> dict[str, int]:
+    """For each feature the most bad documents of a cutoff that rejects at most this part of n good ones."""
+    return {f: max((b for g, b in zip(good[f], bad[f], strict=True) if g <= n * risk), default=0) for f in GRID}
+
+
+def most_features(n: int, risk: float, delta: float) -> int:
+    """Of how many features n good documents can certify a cutoff at all, if these share risk and delta equally."""
+    return max((m for m in range(1, len(GRID) + 1) if certified(0, n, risk / m, delta / m)), default=0)
+
+
+def stratum_cutoffs(n: int, rejected: dict[str, list[int]], caught: dict[str, list[int]], ranked: list[str], risk: float, delta: float) -> dict[str, float]:
+    """choose_cutoffs() for the first features of `ranked`, as many as n good documents suffice for; they alone share risk and delta.
+
+    Neither their number nor `ranked` may depend on which of the n are rejected: so the bounds hold as
+    if the features had been fixed."""
+    m = most_features(n, risk, delta)
+    if not m:
+        return {}
+    some = ranked[:m]
+    # choose_cutoffs() gives each feature one part in len(GRID)
+    return choose_cutoffs(n, {f: rejected[f] for f in some}, {f: caught[f] for f in some}, risk * len(GRID) / m, delta / m)
+
+
 def fit(features: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA, max_strata: int = MAX_STRATA) -> DataFrame:
     """Cutoffs (stratum, one column for each feature) from features (doc_id, stratum, FEATURES) and labels (doc_id, quality).
 
     A document is good if all its labels say 1. Those that the base rules reject anyway don't count.
-    delta is divided by the number of strata and features. All labelled documents are counted, in
+    delta is divided by the number of strata. A stratum too small for all features gives its risk to
+    those that are most useful in the other strata together, so that its own good documents have no
+    part in the choice. All labelled documents are counted, in
     Spark; only one row of counts for each of the max_strata largest strata comes to the driver."""
     judged = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg((F.min("quality") == 1).alias("good"))
     known = features.join(judged, "doc_id").where(~base_failed(F.col("n_words"), F.col("n_repeat_words")))
@@ -171,11 +196,14 @@ def fit(features: DataFrame, labels: DataFrame, risk: float = RISK, delta: float
     counts = [F.count_if((value[f] > c) & which).alias(f"{name}_{f}_{i}") for f, cs in GRID.items() for i, c in enumerate(cs) for name, which in (("good", F.col("good")), ("bad", ~F.col("good")))]
     per = known.groupBy("stratum").agg(F.count_if("good").alias("n"), *counts)
     rows = per.orderBy(F.desc("n"), F.asc_nulls_last("stratum")).limit(max_strata).collect()
-    part = delta / max(1, len(rows)) / len(GRID)
+    part = delta / max(1, len(rows))
+    tables = [[{f: [r[f"{name}_{f}_{i}"] for i in range(len(cs))] for f, cs in GRID.items()} for name in ("good", "bad")] for r in rows]
+    total = [{f: [sum(t[k][f][i] for t in tables) for i in range(len(cs))] for f, cs in GRID.items()} for k in (0, 1)]
     chosen = []
-    for r in rows:
-        good, bad = ({f: [r[f"{name}_{f}_{i}"] for i in range(len(cs))] for f, cs in GRID.items()} for name in ("good", "bad"))
-        cut = choose_cutoffs(r["n"], good, bad, risk, part)
+    for r, (good, bad) in zip(rows, tables, strict=True):
+        others = [{f: [x - y for x, y in zip(total[k][f], own[f], strict=True)] for f in GRID} for k, own in enumerate((good, bad))]
+        useful = usefulness(sum(x["n"] for x in rows) - r["n"], *others, risk)
+        cut = stratum_cutoffs(r["n"], good, bad, sorted(GRID, key=lambda f: -useful[f]), risk, part)
         chosen.append((r["stratum"], *[cut.get(f) for f in GRID]))
     stratum = T.StructField("stratum", features.schema["stratum"].dataType)
     return features.sparkSession.createDataFrame(chosen, T.StructType([stratum] + [T.StructField(f, T.DoubleType()) for f in GRID]))

@@ -100,6 +100,22 @@ def test_quality_report_and_stage(spark, monkeypatch):
     assert sorted([r.doc_id for r in kept.collect()], key=str) == sorted([i for i, k in want if k], key=str)
 
 
+def test_small_strata_give_their_risk_to_the_most_useful_feature(spark):
+    for n in (100, 400, 500, 1000, 1200, 2000, 2400):
+        assert quality.most_features(n, 0.01, 0.0125) == sum((1 - 0.01 / m) ** n <= 0.0125 / m for m in range(1, 5))
+    r = random.Random(3)
+    rows, labels = [], []
+    for lang in ("en", "fr", "de"):
+        for _ in range(560):
+            good = r.random() < 0.9
+            text = " ".join(f"w{r.randrange(500)}" + ("" if good else "##|") for _ in range(30))
+            labels.append((len(rows), int(good), 0))
+            rows.append((len(rows), text, lang))
+    out = quality.quality_report(docs_of(spark, rows), spark.createDataFrame(labels, LABELS)).collect()
+    kept = {x.doc_id: x.kept for x in out}
+    assert all(kept[i] == bool(q) for i, q, _ in labels)
+
+
 def quality_ratios(text):
     n, chars, symbols, dup, repeat, _ = brute_quality(text)
     lines = sum(bool(words(x)) for x in (text or "").split("\n"))
