@@ -146,7 +146,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gr
     """The rows of docs without near duplicates: of each component, the document with its smallest id.
 
     groups (doc_id, component_id), like those of similar.similar_groups(), are further components:
-    a document has to be the first of its own in both to stay.
+    those of both kinds that share a document are one.
 
     An id stands for one document: rows that repeat it count as copies, of which one stays, that
     with the smallest hash of its text. Rows without an id stay only if their component has none."""
@@ -157,7 +157,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gr
     odd = checkpoint(ids.where((F.col("doc_id") != F.col("component_id")) | (F.col("n") > 1)))
     dropped = odd.where("doc_id <> component_id").select(F.col("doc_id").alias(gone_id))
     if groups is not None:
-        dropped = dropped.unionByName(groups.where("doc_id <> component_id").select(F.col("doc_id").alias(gone_id))).distinct()
+        both = rows.select("doc_id", "component_id").unionByName(groups.select("doc_id", "component_id"))
+        both = both.where("component_id < doc_id").select(F.col("component_id").alias("a"), F.col("doc_id").alias("b")).distinct()
+        dropped = components(both).where("node <> component").select(F.col("node").alias(gone_id))
     names = docs.columns
 
     def one_each(df: DataFrame, key: str) -> DataFrame:

@@ -118,3 +118,10 @@ def test_components_of_chains(spark):
 def test_no_python_in_shuffled_part(spark):
     plan = exact_dedup.duplicate_groups(docs_of(spark, corpus()))._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "BatchEvalPython" not in plan
+
+
+def test_components_of_both_kinds_are_one(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    docs = docs_of(spark, [(1, text), (3, "another text of its own"), (5, text), (7, "one more of its own kind")])
+    groups = spark.createDataFrame([(1, 1), (3, 3), (5, 3), (7, 7)], "doc_id long, component_id long")
+    assert sorted(r.doc_id for r in simhash.keep_one(docs, groups=groups).collect()) == [1, 7]
