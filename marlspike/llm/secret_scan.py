@@ -21,6 +21,8 @@ KINDS = ("assign", "access", "hex", "random")
 
 #: Candidates of the efficiency test: so many characters of these at least, a digit and a letter among them.
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}(?![A-Za-z0-9+/_=-])")
+#: Parts of a candidate between = signs, like the value after a name; padding goes with the part before it.
+_PART = re.compile(r"([^=]{16,})(=*$)?")
 #: A candidate with fewer characters a token than this is random. Words of Latin script have over 2.5.
 LEAST_PER_TOKEN = 2.0
 #: Lengths in hexadecimal digits of MD5, SHA-1, SHA-224, SHA-256, SHA-384 and SHA-512: known digests.
@@ -58,14 +60,19 @@ def excluded(word: str) -> bool:
 
 
 def random_spans(text: str, taken: list[tuple[int, int, int]], n_tokens) -> list[tuple[int, int, int]]:
-    """Spans of candidates with few characters a token that touch none of those taken."""
+    """Spans of candidates, or else of their parts, with few characters a token that touch none of those taken."""
     out = []
+
+    def is_random(word: str, a: int, b: int) -> bool:
+        return not excluded(word) and not any(s < b and a < e for s, _, e in taken) and len(word) < LEAST_PER_TOKEN * n_tokens(word)
+
     for m in CANDIDATE.finditer(text):
         a, b = m.span()
-        if excluded(m[0]) or any(s < b and a < e for s, _, e in taken):
-            continue
-        if b - a < LEAST_PER_TOKEN * n_tokens(m[0]):
+        if is_random(m[0], a, b):
             out.append((a, 3, b))
+        elif "=" in m[0] and not excluded(m[0]):
+            # a readable name would hide the value it has
+            out += [(a + x.start(), 3, a + x.end()) for x in _PART.finditer(m[0]) if is_random(x[1], a + x.start(), a + x.end())]
     return out
 
 

@@ -216,3 +216,15 @@ def test_token_efficiency(encoding, word, found):
     spans = secret_scan.random_spans(text, [], lambda w: len(encoding.encode_ordinary(w)))
     assert [text[a:b] for a, _, b in spans] == ([word] if found else [])
     assert not secret_scan.random_spans(text, [(8, 2, 12)], lambda w: len(w))  # what a base pattern has is not told twice
+
+
+@pytest.mark.parametrize("name", ["session_cookie=", "authorization=", "x=", ""])
+def test_names_do_not_hide_secrets(encoding, name):
+    r = random.Random(6)
+    found = 0
+    for i in range(200):
+        value = "".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(24)) + "=" * (i % 3)
+        text = f"set {name}{value} here"
+        spans = secret_scan.random_spans(text, [], lambda w: len(encoding.encode_ordinary(w)))
+        found += any(text[a:b].endswith(value) for a, _, b in spans) and len(spans) == 1
+    assert found >= 190
