@@ -25,7 +25,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near duplicates, the document with the smallest doc_id stays.
 
     Documents are near duplicates if their 64-bit fingerprints differ by 3 bits or less, or if their
-    five-word shingles have a similarity of 0.8 or more by long fingerprints."""
+    five-word shingles have a similarity of 0.8 or more."""
     return simhash.keep_one(docs, groups=similar.similar_groups(docs))
 
 

@@ -104,3 +104,16 @@ def test_crowd_of_strangers_hides_no_pair(spark):
     c = {x.doc_id: x.component_id for x in similar.similar_groups(docs_of(spark, rows)).collect()}
     assert sum(j >= 0.8 for _, _, j in pairs) > 300
     assert all((c[a] == c[b]) == (j >= 0.8) for a, b, j in pairs)
+
+
+def test_prefixes_of_similar_sets_meet():
+    r = np.random.default_rng(6)
+    common = np.sort(r.integers(0, 1 << 63, 200).astype(np.uint64))
+    counts = r.integers(2, 50, 200)
+    for _ in range(2000):
+        n, k = int(r.integers(1, 60)), int(r.integers(0, 8))
+        x = np.concatenate([r.choice(common, min(n, 20), replace=False), r.integers(0, 1 << 63, n).astype(np.uint64)])
+        y = np.concatenate([x[k:], r.integers(0, 1 << 63, int(r.integers(0, 8))).astype(np.uint64)])
+        x, y = np.unique(x), np.unique(y)
+        if len(np.intersect1d(x, y)) / len(np.union1d(x, y)) >= 0.8:
+            assert len(np.intersect1d(*(similar.prefix(s, common, counts, 0.8) for s in (x, y))))
