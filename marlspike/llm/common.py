@@ -42,6 +42,15 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def forget(*frames: DataFrame) -> None:
+    """Delete the files of checkpoints that nothing reads any more. Frames must come from checkpoint()."""
+    for df in frames:
+        rdd = df._jdf.queryExecution().logical().rdd()
+        file = rdd.getCheckpointFile()
+        if file.isDefined():
+            delete_path(df.sparkSession, file.get())
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

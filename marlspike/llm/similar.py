@@ -1,115 +1,85 @@
 """Near duplicates by an exact Jaccard similarity of word shingles: prefixes, equality joins, components.
 
-Sets x and y of a similarity t or more share at least t|x| and t|y| members. So if all sets are
-sorted by one order, the first |x| - ceil(t|x|) + 1 members of x and those of y have one in common.
-These prefixes are the keys: no pair is missed. The order has rare shingles first, so that a
-passage many documents share gives no keys to those that have enough else. Pairs that meet are
-decided by the sets themselves, so none below t passes.
-
-plan() and long_fingerprint() estimate the same by SimHash; similar_groups() does without them."""
+Sets x and y reach a similarity t only if they share t / (1 + t) of the sum of their sizes. Sort all
+sets by one order: at the first member that both have, neither may have fewer members left than
+that. So only the first |x| - ceil(t|x|) + 1 members of a set are keys, and a pair counts at a key
+only if enough is left after it in both: no pair is missed. The order has shingles that many
+documents share last, by counts over all documents, so that a common passage gives keys only to
+those that have little else. Pairs that meet pass an exact filter by parity bitmaps and are then
+decided by the sets themselves, so none below t passes."""
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+import zlib
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
-from marlspike.llm.common import checkpoint, col, map_text
+from marlspike.llm.common import bound_batches, checkpoint, col, forget, map_text
 from marlspike.llm.components import components
 
-#: Words of a shingle, the least similarity, and the wanted probability to find a pair that has just that.
-SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.9
-#: Bits of a segment beyond the logarithm of the number of documents: with more, unlike documents share fewer keys.
-SPARE_BITS = 4
-#: Standard deviations over the expected distance that still pass.
-SLACK = 1.5
-#: 64-bit words of a fingerprint at least: fewer would tell similarities apart badly.
-LEAST_WORDS = 8
-_HASHES = 1 << 14
-#: Documents whose shingles are counted, and the most frequent shingles that are told apart by their counts.
-SAMPLE, COMMON = 20_000, 100_000
-
-
-@dataclass(frozen=True)
-class Plan:
-    """bits of a segment, number of segments, 64-bit words of a fingerprint, greatest distances: of the first word and of all."""
-
-    bits: int
-    segments: int
-    words: int
-    near_word: int
-    near: int
-
-
-def difference(similarity: float) -> float:
-    """The expected part of SimHash bits in which sets of this Jaccard similarity differ."""
-    return math.acos(2 * similarity / (1 + similarity)) / math.pi
-
-
-def plan(n: int, similarity: float = SIMILARITY, recall: float = RECALL) -> Plan:
-    """Segments for n documents: longer ones for more, so that chance meetings of a document stay few, and more of them."""
-    p = difference(similarity)
-    bits = min(40, max(16, math.ceil(math.log2(max(n, 2))) + SPARE_BITS))
-    one = (1 - p) ** bits + bits * p * (1 - p) ** (bits - 1)
-    segments = math.ceil(math.log(1 - recall) / math.log(1 - one))
-    words = max(LEAST_WORDS, -(-bits * segments // 64))
-    spread = lambda m, k: math.floor(m * p + k * math.sqrt(m * p * (1 - p)))
-    return Plan(bits, segments, words, spread(64, 2.8), spread(64 * words, SLACK))
-
-
-def long_fingerprint(text: str | None, words: int, shingle: int = SHINGLE) -> np.ndarray:
-    """`words` times 64 bits; a bit is 1 if over half of the different shingles' hashes have it.
-
-    A shingle's hash words come from one 64-bit hash by a mixing of its sums with odd constants."""
-    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not tokens:
-        return np.zeros(words, np.uint64)
-    line = b" ".join(tokens)
-    lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
-    ends = np.cumsum(lengths + 1) - 1
-    starts = (ends - lengths).tolist()
-    ends = ends.tolist()
-    n = max(1, len(tokens) - shingle + 1)
-    h = xxhash.xxh64_intdigest
-    base = np.array(list({h(line[a:b]) for a, b in zip(starts[:n], ends[-n:])}), np.uint64)
-    ones = np.zeros(64 * words, np.int64)
-    step = np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)  # a fixed value: 2^64 over the golden ratio
-    for at in range(0, len(base), _HASHES):
-        x = base[at : at + _HASHES, None] + step
-        x ^= x >> np.uint64(30)
-        x *= np.uint64(0xBF58476D1CE4E5B9)
-        x ^= x >> np.uint64(27)
-        x *= np.uint64(0x94D049BB133111EB)
-        x ^= x >> np.uint64(31)
-        ones += np.add.reduce(np.unpackbits(x.view(np.uint8), axis=1, bitorder="little"), axis=0, dtype=np.uint16)
-    return np.packbits(ones * 2 > len(base), bitorder="little").view(np.uint64)
-
-
-def segments_of(fp: np.ndarray, bits: int, segments: int) -> list[int]:
-    """Segments of consecutive bits, the first bits lowest."""
-    whole = int.from_bytes(fp.astype("<u8").tobytes(), "little")
-    return [whole >> (i * bits) & ((1 << bits) - 1) for i in range(segments)]
+#: Words of a shingle, and the least similarity.
+SHINGLE, SIMILARITY = 5, 0.8
+#: Shingles are counted by the upper bits of their hashes: 8 bytes for each of so many counters go to every task.
+COUNTERS = 1 << 20
+#: Parts in which the counters are added up, and groups of tasks whose counters are added up first.
+_SLICES, _TASK_GROUPS = 16, 1024
+#: Bits of the bitmap of a small set; it doubles until it has one for each member.
+LEAST_BITS = 512
+#: A key with more sets than this is not joined pair by pair at first, but by rounds of links to centres.
+WIDE = 48
+CENTRES, ROUNDS = 4, 3
+#: Up to so many sets that have to be compared whole (16 bytes each) are named to every task, which then moves no other text.
+BROADCAST_SETS = 500_000
+#: Words whose hashes a task keeps.
+_MEMO_WORDS = 500_000
+#: Odd multipliers for the places of a shingle's words, and for the last mixing.
+_PLACES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)
+_MIX = 0xBF58476D1CE4E5B9
+
+
+class _WordHashes(dict):
+    """64-bit hashes of words, computed when first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = self[word] = xxhash.xxh64_intdigest(word)
+        return h
+
+
+class Shingles:
+    """Sets of shingle hashes; keeps the hashes of words from text to text."""
+
+    def __init__(self, shingle: int = SHINGLE):
+        self.n, self.words = shingle, _WordHashes()
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        """Sorted 64-bit hashes of the different shingles, A-Z lower-cased; a text of fewer words is one shingle, one without words has none."""
+        tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
+        if not tokens:
+            return np.zeros(0, np.uint64)
+        if len(self.words) > _MEMO_WORDS:
+            self.words.clear()
+        w = np.fromiter(map(self.words.__getitem__, tokens), np.uint64, len(tokens))
+        k = min(self.n, len(w))
+        h = np.full(len(w) - k + 1, k, np.uint64)
+        for i in range(k):
+            h *= np.uint64(_PLACES[i % len(_PLACES)])
+            h += w[i : len(w) - k + 1 + i]
+            h ^= h >> np.uint64(31)
+        h *= np.uint64(_MIX)
+        h ^= h >> np.uint64(29)
+        return np.unique(h)
 
 
 def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
-    """Sorted 64-bit hashes of the different shingles; a text of fewer words is one shingle, one without words has none."""
-    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not tokens:
-        return np.zeros(0, np.uint64)
-    line = b" ".join(tokens)
-    lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
-    ends = np.cumsum(lengths + 1) - 1
-    starts = (ends - lengths).tolist()
-    ends = ends.tolist()
-    n = max(1, len(tokens) - shingle + 1)
-    h = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((h(line[a:b]) for a, b in zip(starts[:n], ends[-n:])), np.uint64, n))
+    return Shingles(shingle)(text)
 
 
 def set_name(members: np.ndarray) -> int:
@@ -118,25 +88,37 @@ def set_name(members: np.ndarray) -> int:
     return name - (1 << 64) if name >> 63 else name
 
 
-def prefix(members: np.ndarray, common: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
-    """The first members by (count, hash) that a set shares one of with any other of this similarity.
+def buckets(members: np.ndarray, n_counters: int) -> np.ndarray:
+    return (members >> np.uint64(65 - n_counters.bit_length())).astype(np.int64)
+
+
+def prefix(members: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """The first members by (count, hash): a set shares one of them with any other of this similarity.
 
-    common, sorted, has the shingles with counts; others count as 0. Any counts give all pairs: they
-    only spare keys."""
+    counts, a power of two of them, has the number of each bucket's shingles. Any counts give all
+    pairs: they only spare keys."""
     n = len(members)
     if not n:
         return members
-    weight = np.zeros(n, np.int64)
-    if len(common):
-        at = np.minimum(np.searchsorted(common, members), len(common) - 1)
-        weight = np.where(common[at] == members, counts[at], 0)
-    return members[np.argsort(weight, kind="stable")[: n - math.ceil(similarity * n - 1e-9) + 1]]
+    order = np.argsort(counts[buckets(members, len(counts))], kind="stable")
+    return members[order[: n - math.ceil(similarity * n - 1e-9) + 1]]
+
+
+def bitmap(members: np.ndarray) -> np.ndarray:
+    """Bit i is 1 if an odd number of members are i modulo the bits: two bitmaps differ in no more bits than the sets in members."""
+    bits = LEAST_BITS
+    while bits < len(members):
+        bits *= 2
+    odd = np.bincount((members & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
 def _set_maker(shingle: int):
     def make():
+        of = Shingles(shingle)
+
         def run(texts: list[str | None]) -> list:
-            sets = [shingle_set(t, shingle) for t in texts]
+            sets = [of(t) for t in texts]
             return [[set_name(x) for x in sets], [x.view(np.int64) for x in sets]]
 
         return run
@@ -144,89 +126,163 @@ def _set_maker(shingle: int):
     return make
 
 
-def _prefix_maker(common, similarity: float, shingle: int):
+def _prefix_maker(counts, similarity: float, shingle: int):
     def make():
-        known, counts = common.value
+        known, of = counts.value, Shingles(shingle)
 
         def run(texts: list[str | None]) -> list:
-            sets = [shingle_set(t, shingle) for t in texts]
-            return [[set_name(x) for x in sets], [len(x) for x in sets], [prefix(x, known, counts, similarity).view(np.int64) for x in sets]]
+            sets = [of(t) for t in texts]
+            return [[set_name(x) for x in sets], [len(x) for x in sets], [prefix(x, known, similarity).view(np.int64) for x in sets], [bitmap(x) for x in sets]]
 
         return run
 
     return make
 
 
-def common_shingles(some: DataFrame, n: int, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles (sorted) and counts of those most frequent in about SAMPLE documents. Only the order of keys depends on them."""
-    part = some.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, n // SAMPLE))) == 0)
-    fields = [T.StructField("name", T.LongType()), T.StructField("members", T.ArrayType(T.LongType()))]
-    sets = map_text(part, "text", fields, _set_maker(shingle), [])
-    top = sets.select(F.explode("members").alias("m")).groupBy("m").agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy(F.desc("n"), "m").limit(COMMON).toArrow()
-    known, counts = top["m"].to_numpy().astype(np.int64).view(np.uint64), top["n"].to_numpy().astype(np.int64)
-    order = np.argsort(known)
-    return known[order], counts[order]
+def shingle_counts(some: DataFrame, shingle: int, n_counters: int = COUNTERS) -> np.ndarray:
+    """Numbers of the documents' shingles by bucket, over all documents: one array of n_counters.
+
+    Each task adds up its own and gives it in _SLICES packed parts; these are added up in two
+    rounds, so that no task unpacks more than a group's parts, one after the other."""
+    bound_batches(some.sparkSession)
+    schema, width = "slice int, tasks int, counts binary", n_counters // _SLICES
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, total, waiting, n = Shingles(shingle), np.zeros(n_counters, np.int64), [], 0
+        for batch in batches:
+            for text in batch.column(0):
+                x = of(text.as_py())
+                waiting.append(x)
+                n += len(x)
+                if n > n_counters:
+                    total += np.bincount(buckets(np.concatenate(waiting), n_counters), minlength=n_counters)
+                    waiting, n = [], 0
+        if waiting:
+            total += np.bincount(buckets(np.concatenate(waiting), n_counters), minlength=n_counters)
+        if total.any():
+            group = TaskContext.get().partitionId() % _TASK_GROUPS
+            packed = [zlib.compress(part.tobytes(), 1) for part in total.reshape(_SLICES, width)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(_SLICES), pa.int32()), pa.array([group] * _SLICES, pa.int32()), pa.array(packed, pa.binary())], names=["slice", "tasks", "counts"])
+
+    def add(parts: pa.Table) -> pa.Table:
+        total = np.zeros(width, np.int64)
+        for x in parts.column("counts"):
+            total += np.frombuffer(zlib.decompress(x.as_buffer()), np.int64)
+        return pa.table([pa.array([parts.column("slice")[0].as_py()], pa.int32()), pa.array([0], pa.int32()), pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], names=["slice", "tasks", "counts"])
+
+    rows = some.select("text").mapInArrow(count, schema)
+    for keys in (["slice", "tasks"], ["slice"]):
+        rows = rows.groupBy(*keys).applyInArrow(add, schema)
+    out = np.zeros((_SLICES, width), np.int64)
+    for r in rows.collect():
+        out[r["slice"]] = np.frombuffer(zlib.decompress(r["counts"]), np.int64)
+    return out.ravel()
+
+
+def _needed(a: Column, b: Column, similarity: float) -> Column:
+    """How many members sets of these sizes share at least if they reach the similarity."""
+    return similarity / (1 + similarity) * (a + b) - 1e-9
+
+
+def _pairs(x: DataFrame, y: DataFrame, similarity: float, also: Column) -> DataFrame:
+    """(a, b) with a < b of the rows of x and y (key; node, size and left with x or y in front) that share a key with enough left after it."""
+    met = x.join(y, "key").where(also & (F.col("xnode") != F.col("ynode")) & (F.least("xleft", "yleft") >= _needed(F.col("xsize"), F.col("ysize"), similarity)))
+    return met.select(F.least("xnode", "ynode").alias("a"), F.greatest("xnode", "ynode").alias("b"))
+
+
+def _named(rows: DataFrame, letter: str, *more: str) -> DataFrame:
+    return rows.select("key", *[F.col(c).alias(letter + c) for c in ("node", "size", "left", *more)])
+
+
+def _bits_differ(a: Column, b: Column) -> Column:
+    """In how many bits two bitmaps differ, the longer one folded to the length of the other."""
 
+    def folded(x: Column, n: Column) -> Column:
+        return F.when(F.size(x) > n, F.zip_with(F.slice(x, F.lit(1), n), F.slice(x, n + 1, n), lambda p, q: p.bitwiseXOR(q))).otherwise(x)
 
-def _may_reach(a: dict[str, Column], b: dict[str, Column], similarity: float) -> Column:
-    """Whether two sets can have the similarity, by their sizes and the places of a shared member in their orders."""
-    most = F.least(a["at"], b["at"]) + 1 + F.least(a["size"] - a["at"], b["size"] - b["at"]) - 1
-    return (F.least(a["size"], b["size"]) >= similarity * F.greatest(a["size"], b["size"]) - 1e-9) & (most >= similarity / (1 + similarity) * (a["size"] + b["size"]) - 1e-9)
+    n = F.least(F.size(a), F.size(b))
+    return F.aggregate(F.zip_with(folded(a, n), folded(b, n), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda acc, v: acc + v)
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, some: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets have the similarity. Only texts of sets in a pair are read again."""
-    pairs = checkpoint(pairs)
-    need = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = nodes.join(need, "node").select("node", F.col("first_id").alias("doc_id"))
+    """The pairs (a, b) whose whole sets have the similarity. Only texts of sets in a pair that the bitmaps leave are read again."""
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("size").alias(f"{x}size"), F.col("bits").alias(f"{x}bits"))
+    near = pairs.distinct().join(side("a"), "a").join(side("b"), "b")
+    # with as few shared members as needed, sets differ in all others
+    most = F.col("asize") + F.col("bsize") - 2 * _needed(F.col("asize"), F.col("bsize"), similarity)
+    # sizes of similar sets differ by less than a half, so one folding is enough
+    left = checkpoint(near.where((F.least("asize", "bsize") >= similarity * F.greatest("asize", "bsize") - 1e-9) & (_bits_differ(F.col("abits"), F.col("bbits")) <= most)).select("a", "b"))
+    need = left.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = checkpoint(nodes.join(need, "node").select("node", F.col("first_id").alias("doc_id")))
+    few = wanted.limit(BROADCAST_SETS + 1).count() <= BROADCAST_SETS
     fields = [T.StructField("name", T.LongType()), T.StructField("members", T.ArrayType(T.LongType()))]
     # an id may have several texts
-    sets = map_text(some.join(wanted, "doc_id"), "text", fields, _set_maker(shingle), ["node"]).where("node = name")
+    sets = map_text(some.join(F.broadcast(wanted) if few else wanted, "doc_id"), "text", fields, _set_maker(shingle), ["node"]).where("node = name")
     sets = checkpoint(sets.dropDuplicates(["node"]).select("node", "members"))
-    sa, sb = sets.select(F.col("node").alias("a"), F.col("members").alias("ma")), sets.select(F.col("node").alias("b"), F.col("members").alias("mb"))
-    both = F.size(F.array_intersect("ma", "mb"))
-    reach = both * (1 + similarity) >= similarity * (F.size("ma") + F.size("mb")) - 1e-9
-    return checkpoint(pairs.join(sa, "a").join(sb, "b").where(reach).select("a", "b"))
+    both = left.join(sets.select(F.col("node").alias("a"), F.col("members").alias("ma")), "a").join(sets.select(F.col("node").alias("b"), F.col("members").alias("mb")), "b")
+    reach = F.size(F.array_intersect("ma", "mb")) >= _needed(F.size("ma"), F.size("mb"), similarity)
+    out = checkpoint(both.where(reach).select("a", "b"))
+    forget(left, wanted, sets)
+    return out
 
 
 def links(nodes: DataFrame, some: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """(a, b) with a < b: verified links between sets of nodes (node, size, prefix, first_id) that leave no similar ones apart.
-
-    First each set of a key is linked to the key's first and last in the order of a hash, which joins
-    a crowd of near copies by links in proportion to its sets. Then all pairs of a key that are still
-    in different components are compared: those in one component need no link of their own."""
-    rows = nodes.select("node", "size", F.posexplode("prefix").alias("at", "key"))
-    group, order = Window.partitionBy("key"), F.struct(F.xxhash64("node"), F.col("node"), F.col("size"), F.col("at"))
-    ends = rows.select("*", F.min(order).over(group).alias("first"), F.max(order).over(group).alias("last"))
-    # most keys have one set: only the others are kept
-    ends = checkpoint(ends.where("first.node <> last.node"))
-    near = ends.select("node", "size", "at", F.explode(F.array("first", "last")).alias("c")).where("node <> c.node")
-    side = lambda x: {n: F.col(x + n) for n in ("size", "at")}
-    near = near.where(_may_reach(side(""), side("c."), similarity))
-    first = _verified(near.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct(), nodes, some, similarity, shingle)
-
-    parts = components(first).withColumnRenamed("component", "part")
-    open_ = ends.select("key", "node", "size", "at").join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
-    open_ = open_.select("*", F.min("part").over(group).alias("low"), F.max("part").over(group).alias("high")).where("low <> high")
-    open_ = checkpoint(open_.select("key", "node", "size", "at", "part"))
-    x, y = (open_.select("key", *[F.col(n).alias(f"{k}{n}") for n in ("node", "size", "at", "part")]) for k in "xy")
-    met = x.join(y, "key").where((F.col("xpart") < F.col("ypart")) & _may_reach(side("x"), side("y"), similarity))
-    met = met.select(F.least("xnode", "ynode").alias("a"), F.greatest("xnode", "ynode").alias("b")).distinct()
-    return first.unionByName(_verified(met, nodes, some, similarity, shingle))
+    """(a, b) with a < b: verified links between sets of nodes (node, first_id, size, prefix, bits) that leave no similar ones apart.
+
+    Keys with up to WIDE sets give all their pairs. In wider ones, where near copies crowd, each set
+    is first compared with a few centres of its key; sets that links join, by whatever key, need no
+    link of their own. After ROUNDS rounds all pairs of a key that are still in different components
+    are compared, so that no link is lost: work grows with the square of a key's sets only as far as
+    these are unlike, though they share rare shingles and have enough left after those."""
+    rows = nodes.select("node", "size", F.posexplode("prefix").alias("at", "key")).select("key", "node", "size", (F.col("size") - F.col("at")).alias("left"))
+    # most keys have one set: only the others are kept. Aggregates are written before a join reads them, so that Spark can split a key's rows there
+    sizes = checkpoint(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    shared = checkpoint(rows.join(sizes, "key"))
+    narrow = shared.where(F.col("n") <= WIDE)
+    found = _verified(_pairs(_named(narrow, "x"), _named(narrow, "y"), similarity, F.col("xnode") < F.col("ynode")), nodes, some, similarity, shingle)
+    open_ = checkpoint(shared.where(F.col("n") > WIDE).drop("n"))
+    forget(sizes, shared)
+    for turn in range(ROUNDS + 1):
+        if not open_.limit(1).count():
+            break
+        parts = checkpoint(components(found).withColumnRenamed("component", "part"))
+        placed = checkpoint(open_.drop("part").join(parts, "node", "left").withColumn("part", F.coalesce("part", "node")))
+        apart = checkpoint(placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key"))
+        forget(open_)
+        open_ = checkpoint(placed.join(apart, "key"))
+        forget(parts, placed, apart)
+        if turn < ROUNDS:
+            seat = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(CENTRES))
+            centres = open_.groupBy("key", seat.alias("seat")).agg(F.min_by(F.struct("node", "size", "left", "part"), F.xxhash64("node", F.lit(-1 - turn))).alias("c"))
+            centres = checkpoint(centres.select("key", "c.*"))
+            more = _pairs(_named(centres, "x", "part"), _named(open_, "y", "part"), similarity, F.col("xpart") != F.col("ypart"))
+        else:
+            more = _pairs(_named(open_, "x", "part"), _named(open_, "y", "part"), similarity, F.col("xpart") < F.col("ypart"))
+        found = found.unionByName(_verified(more, nodes, some, similarity, shingle))
+    forget(open_)
+    return found
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
     """doc_id and component_id, the smallest id of similar documents, for every row with an id and a word.
 
     Documents are similar if their sets of shingles have at least this Jaccard similarity; chains of
-    similar ones are one component. Equal sets count as one. Null ids and texts without words are left
-    out: nothing is known to be similar to them."""
+    similar ones are one component. Equal sets count as one, so copies never form pairs. Null ids
+    and texts without words are left out: nothing is known to be similar to them. Repeated rows come
+    out as often; an id with several texts has a row for each. Whole texts count, however long. No
+    rows give no rows. Other columns, whatever their names, are ignored."""
     some = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text")).where(F.col("doc_id").isNotNull() & F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    common = docs.sparkSession.sparkContext.broadcast(common_shingles(some, docs.count(), shingle))
-    fields = [T.StructField("node", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("prefix", T.ArrayType(T.LongType()))]
-    marked = checkpoint(map_text(some, "text", fields, _prefix_maker(common, similarity, shingle), ["doc_id"]))
-    first = marked.groupBy("node").agg(F.min("doc_id").alias("first_id"))
-    nodes = checkpoint(marked.dropDuplicates(["node"]).select("node", "size", "prefix").join(first, "node"))
+    counts = docs.sparkSession.sparkContext.broadcast(shingle_counts(some, shingle))
+    fields = [T.StructField("node", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("bits", T.ArrayType(T.LongType()))]
+    marked = checkpoint(map_text(some, "text", fields, _prefix_maker(counts, similarity, shingle), ["doc_id"]))
+    nodes = checkpoint(marked.groupBy("node").agg(F.min("doc_id").alias("first_id"), *[F.first(c).alias(c) for c in ("size", "prefix", "bits")]))
     parts = components(links(nodes, some, similarity, shingle)).withColumnRenamed("component", "part")
-    rows = marked.select("doc_id", "node").join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
-    return rows.select("doc_id", "part").join(rows.groupBy("part").agg(F.min("doc_id").alias("component_id")), "part").select("doc_id", "component_id")
+    alike = nodes.select("node", "first_id").join(parts, "node")
+    least = checkpoint(alike.groupBy("part").agg(F.min("first_id").alias("component_id")))
+    named = checkpoint(alike.join(least, "part").select("node", "component_id"))
+    # sets that are like no other stand for themselves
+    alone = nodes.join(named, "node", "left_anti").select("node", F.col("first_id").alias("component_id"))
+    every = checkpoint(named.unionByName(alone))
+    out = checkpoint(marked.select("doc_id", "node").join(every, "node").select("doc_id", "component_id"))
+    forget(marked, nodes, least, named, every)
+    return out

@@ -1,11 +1,11 @@
-import itertools
 import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from marlspike.llm import similar
-from tests.llm.helpers import awkward_rows, docs_of
+from tests.llm.helpers import awkward_rows, brute_components, docs_of
 
 
 def shingles(text):
@@ -64,33 +64,6 @@ def test_odd_rows(spark):
     assert similar.similar_groups(docs_of(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize("n", [2, 1000, 200_000, 10**9, 10**11])
-def test_plan_reaches_recall(n):
-    p = similar.plan(n)
-    d = similar.difference(0.8)
-    one = (1 - d) ** p.bits + p.bits * d * (1 - d) ** (p.bits - 1)
-    assert 1 - (1 - one) ** p.segments >= 0.9 and 16 <= p.bits <= 40 and p.bits * p.segments <= 64 * p.words
-
-
-def test_bits_differ_as_expected():
-    r = random.Random(3)
-    a = prose(r, 600)
-    for n in (2, 6, 20):
-        b = edited(r, a, n)
-        x, y = (similar.long_fingerprint(t, 16) for t in (a, b))
-        got = int(np.bitwise_count(x ^ y).sum()) / 1024
-        assert abs(got - similar.difference(jaccard(a, b))) < 0.06
-    fps = [similar.long_fingerprint(prose(r, 100), 8) for _ in range(30)]
-    assert all(180 < int(np.bitwise_count(a ^ b).sum()) < 332 for a, b in itertools.combinations(fps, 2))
-    assert not similar.long_fingerprint(None, 4).any()
-
-
-def test_segments_hold_all_bits():
-    fp = np.array([0x0123456789ABCDEF, 0xFEDCBA9876543210], np.uint64)
-    whole = int(fp[0]) | int(fp[1]) << 64
-    assert sum(s << (18 * i) for i, s in enumerate(similar.segments_of(fp, 18, 8))) == whole
-
-
 def test_crowd_of_strangers_hides_no_pair(spark):
     r = random.Random(5)
     passage = prose(r, 160)
@@ -106,14 +79,81 @@ def test_crowd_of_strangers_hides_no_pair(spark):
     assert all((c[a] == c[b]) == (j >= 0.8) for a, b, j in pairs)
 
 
-def test_prefixes_of_similar_sets_meet():
-    r = np.random.default_rng(6)
-    common = np.sort(r.integers(0, 1 << 63, 200).astype(np.uint64))
-    counts = r.integers(2, 50, 200)
-    for _ in range(2000):
-        n, k = int(r.integers(1, 60)), int(r.integers(0, 8))
-        x = np.concatenate([r.choice(common, min(n, 20), replace=False), r.integers(0, 1 << 63, n).astype(np.uint64)])
+def _random_sets(n=2000, seed=6):
+    r = np.random.default_rng(seed)
+    common = np.unique(r.integers(0, 1 << 63, 200).astype(np.uint64) * np.uint64(2))
+    for _ in range(n):
+        size, k = int(r.integers(1, 60)), int(r.integers(0, 8))
+        x = np.concatenate([r.choice(common, min(size, 20), replace=False), r.integers(0, 1 << 63, size).astype(np.uint64)])
         y = np.concatenate([x[k:], r.integers(0, 1 << 63, int(r.integers(0, 8))).astype(np.uint64)])
-        x, y = np.unique(x), np.unique(y)
-        if len(np.intersect1d(x, y)) / len(np.union1d(x, y)) >= 0.8:
-            assert len(np.intersect1d(*(similar.prefix(s, common, counts, 0.8) for s in (x, y))))
+        yield np.unique(x), np.unique(y)
+
+
+def test_prefixes_of_similar_sets_meet_with_enough_left():
+    r = np.random.default_rng(1)
+    counts, near = r.integers(0, 50, 1 << 10), 0
+    for x, y in _random_sets():
+        if 10 * len(np.intersect1d(x, y)) >= 8 * len(np.union1d(x, y)):
+            near += 1
+            px, py = (similar.prefix(s, counts, 0.8).tolist() for s in (x, y))
+            shared = set(px) & set(py)
+            assert shared and max(min(len(x) - px.index(m), len(y) - py.index(m)) for m in shared) >= 0.8 / 1.8 * (len(x) + len(y)) - 1e-9
+    assert near > 500
+
+
+def test_bitmaps_differ_in_no_more_bits_than_sets_in_members(spark):
+    r = np.random.default_rng(2)
+    rows = []
+    for n, gone, more in [(10, 1, 0), (100, 9, 9), (500, 30, 40), (520, 60, 10), (1000, 50, 90), (3000, 0, 0), (30, 30, 30)]:
+        x = np.unique(r.integers(0, 1 << 63, n).astype(np.uint64))
+        y = np.unique(np.concatenate([x[gone:], r.integers(0, 1 << 63, more).astype(np.uint64)]))
+        rows.append((similar.bitmap(x).tolist(), similar.bitmap(y).tolist(), len(np.setxor1d(x, y))))
+    df = spark.createDataFrame(rows, "a array<long>, b array<long>, d int")
+    got = df.select(similar._bits_differ(F.col("a"), F.col("b")).alias("bits"), "d").collect()
+    assert all(x.bits <= x.d and x.bits % 2 == x.d % 2 for x in got) and got[-1].bits > 30 and got[2].bits > 50
+
+
+def test_counts_of_all_shingles(spark):
+    r = random.Random(4)
+    texts = [prose(r, r.randint(0, 60)) for _ in range(60)] + ["the same words come here again and again"] * 30
+    some = spark.createDataFrame([(t,) for t in texts], "text string").repartition(5)
+    want = np.zeros(similar.COUNTERS, np.int64)
+    for t in texts:
+        np.add.at(want, similar.buckets(similar.shingle_set(t), similar.COUNTERS), 1)
+    assert (similar.shingle_counts(some, 5) == want).all() and want.max() >= 30
+
+
+@pytest.mark.parametrize("at", [0.8, 0.85, 0.9])
+def test_every_pair_at_its_own_similarity(spark, at):
+    r = random.Random(int(100 * at))
+    rows, alike = [], {}
+    for i in range(0, 600, 2):
+        n = r.randint(200, 600)
+        a = [f"a{i}x{j}" for j in range(n)]
+        # m edited words, far from each other, take 5 shingles each from both: J = (n - 4 - 5m) / (n - 4 + 5m)
+        m = max(1, int((n - 4) * (1 - at) / (1 + at) / 5))
+        b = [f"b{i}x{j}" if j % 10 == 5 and j // 10 < m else x for j, x in enumerate(a)]
+        rows += [(i, " ".join(a)), (i + 1, " ".join(b))]
+        alike[i] = jaccard(rows[-1][1], rows[-2][1])
+    assert all(at - 1e-9 <= j < at + 0.1 for j in alike.values())
+    c = {x.doc_id: x.component_id for x in similar.similar_groups(docs_of(spark, rows)).collect()}
+    assert all(c[i] == c[i + 1] == i for i in alike)
+
+
+@pytest.mark.parametrize("wide,rounds", [(2, 0), (2, 1), (4, 3), (10_000, 3)])
+def test_components_equal_brute_force_whatever_the_ways(spark, monkeypatch, wide, rounds):
+    monkeypatch.setattr(similar, "WIDE", wide)
+    monkeypatch.setattr(similar, "ROUNDS", rounds)
+    r = random.Random(9)
+    base = prose(r, 150)
+    rows = []
+    for i in range(120):  # a crowd in which some pairs are similar and others are not
+        rows.append((i, edited(r, base if i < 80 or r.random() < 0.5 else rows[r.randrange(80, i)][1] if i > 90 else base, r.randint(0, 5))))
+    rows += [(500 + i, prose(r, 30)) for i in range(20)] + [(700, rows[3][1].upper()), (701, None), (None, base)]
+    texts = [x for x in rows if x[0] is not None and x[1]]
+    part = brute_components([shingles(x[1]) for x in texts], lambda a, b: 10 * len(a & b) >= 8 * len(a | b))
+    least = {}
+    for (i, _), p in zip(texts, part):
+        least[p] = min(least.get(p, i), i)
+    got = {x.doc_id: x.component_id for x in similar.similar_groups(docs_of(spark, rows, extra=True)).collect()}
+    assert got == {i: least[p] for (i, _), p in zip(texts, part)} and len(set(got.values())) > 22
