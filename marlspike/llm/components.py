@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlspike.llm.common import checkpoint
+from marlspike.llm.common import checkpoint, forget
 
 
 def _star(edges: DataFrame, small: bool) -> DataFrame:
@@ -35,7 +35,8 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         if not n:
             break
-        edges = checkpoint(_star(_star(edges, small=False), small=True))
+        before, edges = edges, checkpoint(_star(_star(edges, small=False), small=True))
+        forget(before)
         state = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.hash("a", "b").cast("long")).alias("s"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("x")).first()
         if state == total:
             break

@@ -36,6 +36,8 @@ LEAST_BITS = 512
 #: A key with more sets than this is not joined pair by pair at first, but by rounds of links to centres.
 WIDE = 48
 CENTRES, ROUNDS = 4, 3
+#: Rounds of centres end where the pairs in different components are at most so many times the rows of their keys.
+FEW_PAIRS = 16
 #: Up to so many sets that have to be compared whole (16 bytes each) are named to every task, which then moves no other text.
 BROADCAST_SETS = 500_000
 #: Words whose hashes a task keeps.
@@ -212,55 +214,71 @@ def _verified(pairs: DataFrame, nodes: DataFrame, some: DataFrame, similarity: f
     most = F.col("asize") + F.col("bsize") - 2 * _needed(F.col("asize"), F.col("bsize"), similarity)
     # sizes of similar sets differ by less than a half, so one folding is enough
     left = checkpoint(near.where((F.least("asize", "bsize") >= similarity * F.greatest("asize", "bsize") - 1e-9) & (_bits_differ(F.col("abits"), F.col("bbits")) <= most)).select("a", "b"))
+    n = left.count()
+    if not n:
+        return left
     need = left.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = checkpoint(nodes.join(need, "node").select("node", F.col("first_id").alias("doc_id")))
-    few = wanted.limit(BROADCAST_SETS + 1).count() <= BROADCAST_SETS
+    wanted = nodes.join(need, "node").select("node", F.col("first_id").alias("doc_id"))
     fields = [T.StructField("name", T.LongType()), T.StructField("members", T.ArrayType(T.LongType()))]
     # an id may have several texts
-    sets = map_text(some.join(F.broadcast(wanted) if few else wanted, "doc_id"), "text", fields, _set_maker(shingle), ["node"]).where("node = name")
+    sets = map_text(some.join(F.broadcast(wanted) if 2 * n <= BROADCAST_SETS else wanted, "doc_id"), "text", fields, _set_maker(shingle), ["node"]).where("node = name")
     sets = checkpoint(sets.dropDuplicates(["node"]).select("node", "members"))
     both = left.join(sets.select(F.col("node").alias("a"), F.col("members").alias("ma")), "a").join(sets.select(F.col("node").alias("b"), F.col("members").alias("mb")), "b")
     reach = F.size(F.array_intersect("ma", "mb")) >= _needed(F.size("ma"), F.size("mb"), similarity)
     out = checkpoint(both.where(reach).select("a", "b"))
-    forget(left, wanted, sets)
+    forget(left, sets)
     return out
 
 
-def links(nodes: DataFrame, some: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """(a, b) with a < b: verified links between sets of nodes (node, first_id, size, prefix, bits) that leave no similar ones apart.
+def _centres(rows: DataFrame, turn: int) -> DataFrame:
+    """Up to CENTRES rows of each key, others in each turn. Keys that share sets mostly share centres."""
+    seat = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(CENTRES))
+    best = rows.groupBy("key", seat.alias("seat")).agg(F.min_by(F.struct("node", "size", "left", "part"), F.xxhash64("node", F.lit(-1 - turn))).alias("c"))
+    return checkpoint(best.select("key", "c.*"))
+
+
+def similar_parts(nodes: DataFrame, some: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """(node, part): components of the similar sets of nodes (node, first_id, size, prefix, bits); sets similar to none are left out.
 
     Keys with up to WIDE sets give all their pairs. In wider ones, where near copies crowd, each set
     is first compared with a few centres of its key; sets that links join, by whatever key, need no
-    link of their own. After ROUNDS rounds all pairs of a key that are still in different components
-    are compared, so that no link is lost: work grows with the square of a key's sets only as far as
-    these are unlike, though they share rare shingles and have enough left after those."""
+    link of their own. Once keys have few pairs in different components, or after ROUNDS rounds of
+    centres, all such pairs are compared. So no link is lost, and work grows with the square of a
+    key's sets only as far as these are unlike, though they share rare shingles and have enough
+    left after those."""
     rows = nodes.select("node", "size", F.posexplode("prefix").alias("at", "key")).select("key", "node", "size", (F.col("size") - F.col("at")).alias("left"))
     # most keys have one set: only the others are kept. Aggregates are written before a join reads them, so that Spark can split a key's rows there
     sizes = checkpoint(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     shared = checkpoint(rows.join(sizes, "key"))
-    narrow = shared.where(F.col("n") <= WIDE)
-    found = _verified(_pairs(_named(narrow, "x"), _named(narrow, "y"), similarity, F.col("xnode") < F.col("ynode")), nodes, some, similarity, shingle)
-    open_ = checkpoint(shared.where(F.col("n") > WIDE).drop("n"))
-    forget(sizes, shared)
-    for turn in range(ROUNDS + 1):
-        if not open_.limit(1).count():
-            break
-        parts = checkpoint(components(found).withColumnRenamed("component", "part"))
+    narrow, open_ = shared.where(F.col("n") <= WIDE), shared.where(F.col("n") > WIDE).select("key", "node", "size", "left", F.col("node").alias("part"))
+    pairs = _pairs(_named(narrow, "x"), _named(narrow, "y"), similarity, F.col("xnode") < F.col("ynode"))
+    unlike = F.col("xpart") != F.col("ypart")
+    if any_wide := bool(open_.limit(1).count()):
+        pairs = pairs.unionByName(_pairs(_named(_centres(open_, 0), "x", "part"), _named(open_, "y", "part"), similarity, unlike))
+    found = _verified(pairs, nodes, some, similarity, shingle)
+    parts, spent = checkpoint(components(found).withColumnRenamed("component", "part")), [sizes, shared]
+    for turn in range(1, ROUNDS + 1) if any_wide else ():
         placed = checkpoint(open_.drop("part").join(parts, "node", "left").withColumn("part", F.coalesce("part", "node")))
-        apart = checkpoint(placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key"))
-        forget(open_)
-        open_ = checkpoint(placed.join(apart, "key"))
-        forget(parts, placed, apart)
-        if turn < ROUNDS:
-            seat = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(CENTRES))
-            centres = open_.groupBy("key", seat.alias("seat")).agg(F.min_by(F.struct("node", "size", "left", "part"), F.xxhash64("node", F.lit(-1 - turn))).alias("c"))
-            centres = checkpoint(centres.select("key", "c.*"))
-            more = _pairs(_named(centres, "x", "part"), _named(open_, "y", "part"), similarity, F.col("xpart") != F.col("ypart"))
-        else:
-            more = _pairs(_named(open_, "x", "part"), _named(open_, "y", "part"), similarity, F.col("xpart") < F.col("ypart"))
-        found = found.unionByName(_verified(more, nodes, some, similarity, shingle))
-    forget(open_)
-    return found
+        each = placed.groupBy("key", "part").agg(F.count(F.lit(1)).cast("double").alias("n"))
+        of_key = each.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.sum("n").alias("n"), ((F.sum("n") ** 2 - F.sum(F.col("n") ** 2)) / 2).alias("pairs"))
+        apart = checkpoint(of_key.where("parts > 1").select("key", "n", "pairs"))
+        n, left = apart.agg(F.sum("n"), F.sum("pairs")).first()
+        open_ = checkpoint(placed.join(apart.select("key"), "key"))
+        forget(placed, apart, *spent)
+        spent = [open_]
+        if not n:
+            break
+        last = turn == ROUNDS or left <= FEW_PAIRS * n
+        pairs = _pairs(_named(open_ if last else _centres(open_, turn), "x", "part"), _named(open_, "y", "part"), similarity, F.col("xpart") < F.col("ypart") if last else unlike)
+        new = _verified(pairs, nodes, some, similarity, shingle)
+        if new.limit(1).count():
+            found = found.unionByName(new)
+            forget(parts)
+            parts = checkpoint(components(found).withColumnRenamed("component", "part"))
+        if last:
+            break
+    forget(*spent)
+    return parts
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
@@ -276,7 +294,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     fields = [T.StructField("node", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("bits", T.ArrayType(T.LongType()))]
     marked = checkpoint(map_text(some, "text", fields, _prefix_maker(counts, similarity, shingle), ["doc_id"]))
     nodes = checkpoint(marked.groupBy("node").agg(F.min("doc_id").alias("first_id"), *[F.first(c).alias(c) for c in ("size", "prefix", "bits")]))
-    parts = components(links(nodes, some, similarity, shingle)).withColumnRenamed("component", "part")
+    parts = similar_parts(nodes, some, similarity, shingle)
     alike = nodes.select("node", "first_id").join(parts, "node")
     least = checkpoint(alike.groupBy("part").agg(F.min("first_id").alias("component_id")))
     named = checkpoint(alike.join(least, "part").select("node", "component_id"))

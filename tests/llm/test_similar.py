@@ -140,10 +140,11 @@ def test_every_pair_at_its_own_similarity(spark, at):
     assert all(c[i] == c[i + 1] == i for i in alike)
 
 
-@pytest.mark.parametrize("wide,rounds", [(2, 0), (2, 1), (4, 3), (10_000, 3)])
-def test_components_equal_brute_force_whatever_the_ways(spark, monkeypatch, wide, rounds):
+@pytest.mark.parametrize("wide,rounds,few", [(2, 1, 0), (2, 3, 0), (4, 3, 16), (10_000, 3, 16)])
+def test_components_equal_brute_force_whatever_the_ways(spark, monkeypatch, wide, rounds, few):
     monkeypatch.setattr(similar, "WIDE", wide)
     monkeypatch.setattr(similar, "ROUNDS", rounds)
+    monkeypatch.setattr(similar, "FEW_PAIRS", few)
     r = random.Random(9)
     base = prose(r, 150)
     rows = []
