@@ -231,9 +231,13 @@ def _verified(pairs: DataFrame, nodes: DataFrame, some: DataFrame, similarity: f
 
 
 def _centres(rows: DataFrame, turn: int) -> DataFrame:
-    """Up to CENTRES rows of each key, others in each turn. Keys that share sets mostly share centres."""
+    """Up to CENTRES rows of each key, others in each turn; keys that share sets mostly share centres.
+
+    At first those with the most members left: a set with few members rarer than a crowd's own is the
+    likeliest to be what the crowd are copies of."""
     seat = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(CENTRES))
-    best = rows.groupBy("key", seat.alias("seat")).agg(F.min_by(F.struct("node", "size", "left", "part"), F.xxhash64("node", F.lit(-1 - turn))).alias("c"))
+    place = F.xxhash64("node", F.lit(-1 - turn))
+    best = rows.groupBy("key", seat.alias("seat")).agg(F.min_by(F.struct("node", "size", "left", "part"), F.struct(F.col("at"), place) if turn == 0 else place).alias("c"))
     return checkpoint(best.select("key", "c.*"))
 
 
@@ -246,11 +250,11 @@ def similar_parts(nodes: DataFrame, some: DataFrame, similarity: float, shingle:
     centres, all such pairs are compared. So no link is lost, and work grows with the square of a
     key's sets only as far as these are unlike, though they share rare shingles and have enough
     left after those."""
-    rows = nodes.select("node", "size", F.posexplode("prefix").alias("at", "key")).select("key", "node", "size", (F.col("size") - F.col("at")).alias("left"))
+    rows = nodes.select("node", "size", F.posexplode("prefix").alias("at", "key")).select("key", "node", "size", (F.col("size") - F.col("at")).alias("left"), "at")
     # most keys have one set: only the others are kept. Aggregates are written before a join reads them, so that Spark can split a key's rows there
     sizes = checkpoint(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     shared = checkpoint(rows.join(sizes, "key"))
-    narrow, open_ = shared.where(F.col("n") <= WIDE), shared.where(F.col("n") > WIDE).select("key", "node", "size", "left", F.col("node").alias("part"))
+    narrow, open_ = shared.where(F.col("n") <= WIDE), shared.where(F.col("n") > WIDE).select("key", "node", "size", "left", "at", F.col("node").alias("part"))
     pairs = _pairs(_named(narrow, "x"), _named(narrow, "y"), similarity, F.col("xnode") < F.col("ynode"))
     unlike = F.col("xpart") != F.col("ypart")
     if any_wide := bool(open_.limit(1).count()):
