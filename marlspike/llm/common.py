@@ -51,6 +51,14 @@ def forget(*frames: DataFrame) -> None:
             delete_path(df.sparkSession, file.get())
 
 
+def settled(table: DataFrame, *keys: str) -> DataFrame:
+    """An aggregate by keys, dealt anew by a hash, before a join by the same keys.
+
+    Spark splits the rows of a hot key only in joins whose two sides come straight from a shuffle of
+    their own; an aggregate would else share the join's. Costs a shuffle of the aggregate's rows."""
+    return table.repartition(F.xxhash64(*[col(k) for k in keys]))
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlspike.llm.common import checkpoint, forget
+from marlspike.llm.common import checkpoint, forget, settled
 
 
 def _star(edges: DataFrame, small: bool) -> DataFrame:
@@ -16,10 +16,11 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
     but in a join, which Spark can split."""
     if small:
         low = edges.groupBy("b").agg(F.min("a").alias("m"))
-        out = edges.join(low, "b").select(F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("a").alias("b")), F.struct(F.col("m").alias("a"), F.col("b").alias("b")))).alias("e")).select("e.a", "e.b")
+        out = edges.join(settled(low, "b"), "b").select(F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("a").alias("b")), F.struct(F.col("m").alias("a"), F.col("b").alias("b")))).alias("e")).select("e.a", "e.b")
     else:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = settled(low, "u")
         # greater neighbours of u: the edges (a, b) with a = u
         out = edges.join(low, edges["a"] == low["u"]).select(F.col("m").alias("a"), F.col("b"))
     return out.where("a < b").distinct()

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marlspike.llm.common import checkpoint, col, fresh, map_text
+from marlspike.llm.common import checkpoint, col, forget, fresh, map_text, settled
 from marlspike.llm.components import components
 
 #: Words of a shingle, and the seed of its hash.
@@ -90,11 +90,13 @@ def links(fps: DataFrame) -> DataFrame:
     shared = variants(fps)
     # most keys have one fingerprint: only the others are kept
     sizes = shared.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    rows = checkpoint(shared.join(sizes, "key"))
+    rows = checkpoint(shared.join(settled(sizes, "key"), "key"))
     narrow = rows.where(F.col("n") <= WIDE)
     a, b = narrow.select("key", F.col("fp").alias("a")), narrow.select("key", F.col("fp").alias("b"))
     close = a.join(b, ["key"]).where((F.col("a") < F.col("b")) & (_distance(F.col("a"), F.col("b")) <= MAX_BITS)).select("a", "b")
-    return checkpoint(close.unionByName(_wide_links(rows.where(F.col("n") > WIDE).select("key", "fp"))).distinct())
+    out = checkpoint(close.unionByName(_wide_links(rows.where(F.col("n") > WIDE).select("key", "fp"))).distinct())
+    forget(rows)
+    return out
 
 
 def _wide_links(rows: DataFrame) -> DataFrame:
@@ -114,7 +116,7 @@ def _wide_links(rows: DataFrame) -> DataFrame:
     points = rows.withColumn("rest", rest).select("key", "fp", "rest", F.explode(F.when(whole, both).otherwise(one)).alias("p"))
     points = points.select("key", "fp", F.col("rest").bitwiseXOR(F.col("p.flip")).alias("point"), F.col("p.far").alias("far"))
     center = points.where("far = 1").groupBy("key", "point").agg(F.min("fp").alias("center"))
-    near = points.join(center, ["key", "point"]).where(F.col("fp") != F.col("center"))
+    near = points.join(settled(center, "key", "point"), ["key", "point"]).where(F.col("fp") != F.col("center"))
     near = near.where(_distance(F.col("fp"), F.col("center")) <= MAX_BITS)
     return near.select(F.least("fp", "center").alias("a"), F.greatest("fp", "center").alias("b"))
 
@@ -138,7 +140,7 @@ def assign(marked: DataFrame) -> DataFrame:
     parts = components(links(classes.select("fp")))
     named = classes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("part", F.coalesce("component", "fp"))
     first = named.groupBy("part").agg(F.min("first_id").alias("component_id"))
-    by_fp = named.select("fp", "part").join(first, "part").select("fp", "part", "component_id")
+    by_fp = named.select("fp", "part").join(settled(first, "part"), "part").select("fp", "part", "component_id")
     return marked.join(by_fp, "fp")
 
 

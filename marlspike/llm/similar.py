@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marlspike.llm.common import bound_batches, checkpoint, col, forget, map_text
+from marlspike.llm.common import bound_batches, checkpoint, col, forget, map_text, settled
 from marlspike.llm.components import components
 
 #: Words of a shingle, and the least similarity.
@@ -251,16 +251,16 @@ def similar_parts(nodes: DataFrame, some: DataFrame, similarity: float, shingle:
     key's sets only as far as these are unlike, though they share rare shingles and have enough
     left after those."""
     rows = nodes.select("node", "size", F.posexplode("prefix").alias("at", "key")).select("key", "node", "size", (F.col("size") - F.col("at")).alias("left"), "at")
-    # most keys have one set: only the others are kept. Aggregates are written before a join reads them, so that Spark can split a key's rows there
-    sizes = checkpoint(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    shared = checkpoint(rows.join(sizes, "key"))
+    # most keys have one set: only the others are kept
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = checkpoint(rows.join(settled(sizes, "key"), "key"))
     narrow, open_ = shared.where(F.col("n") <= WIDE), shared.where(F.col("n") > WIDE).select("key", "node", "size", "left", "at", F.col("node").alias("part"))
     pairs = _pairs(_named(narrow, "x"), _named(narrow, "y"), similarity, F.col("xnode") < F.col("ynode"))
     unlike = F.col("xpart") != F.col("ypart")
     if any_wide := bool(open_.limit(1).count()):
         pairs = pairs.unionByName(_pairs(_named(_centres(open_, 0), "x", "part"), _named(open_, "y", "part"), similarity, unlike))
     found = _verified(pairs, nodes, some, similarity, shingle)
-    parts, spent = checkpoint(components(found).withColumnRenamed("component", "part")), [sizes, shared]
+    parts, spent = checkpoint(components(found).withColumnRenamed("component", "part")), [shared]
     for turn in range(1, ROUNDS + 1) if any_wide else ():
         placed = checkpoint(open_.drop("part").join(parts, "node", "left").withColumn("part", F.coalesce("part", "node")))
         each = placed.groupBy("key", "part").agg(F.count(F.lit(1)).cast("double").alias("n"))
@@ -300,11 +300,11 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     nodes = checkpoint(marked.groupBy("node").agg(F.min("doc_id").alias("first_id"), *[F.first(c).alias(c) for c in ("size", "prefix", "bits")]))
     parts = similar_parts(nodes, some, similarity, shingle)
     alike = nodes.select("node", "first_id").join(parts, "node")
-    least = checkpoint(alike.groupBy("part").agg(F.min("first_id").alias("component_id")))
-    named = checkpoint(alike.join(least, "part").select("node", "component_id"))
+    least = alike.groupBy("part").agg(F.min("first_id").alias("component_id"))
+    named = checkpoint(alike.join(settled(least, "part"), "part").select("node", "component_id"))
     # sets that are like no other stand for themselves
     alone = nodes.join(named, "node", "left_anti").select("node", F.col("first_id").alias("component_id"))
     every = checkpoint(named.unionByName(alone))
     out = checkpoint(marked.select("doc_id", "node").join(every, "node").select("doc_id", "component_id"))
-    forget(marked, nodes, least, named, every)
+    forget(marked, nodes, named, every)
     return out
