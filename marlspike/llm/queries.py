@@ -8,7 +8,6 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from marlspike.llm import byte_bpe, exact_dedup, language_id, license_scan, mixing, quality, secret_scan, simhash, token_counts, url_filter
-from marlspike.llm.common import shared_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,9 +30,9 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # a new cache each time, so that a call does all the work
+    # a cache of its own, so that a call does all the work
     tokenizer = token_counts.Tokenizer(public_tokenizers.path("word_bpe_49k.json"))
-    return token_counts.count_tokens(_table(spark, sf_dir, "documents"), tokenizer, shared_path(spark, "token-counts"))
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents"), tokenizer)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marlspike.llm.common import SPACES, checkpoint, col, map_text, path_exists
+from marlspike.llm.common import SPACES, checkpoint, col, delete_path, forget, map_text, path_exists, settled, shared_path
 
 #: Part of every tokenizer digest: counts made under another rule of normalisation are not used.
 RULE = "1"
@@ -92,17 +92,17 @@ def content_digest(text: Column, by_word: bool) -> Column:
     return F.unhex(F.sha2(F.regexp_replace(text, SPACES, " ") if by_word else text, 256))
 
 
-def read_cache(spark: SparkSession, path: str, tokenizer: Tokenizer) -> DataFrame | None:
-    """(content, n_tokens) that the cache holds for the tokenizer, one row a text; None if there is no cache."""
+def read_cache(spark: SparkSession, path: str, tokenizer: Tokenizer) -> DataFrame:
+    """(content, n_tokens) that the cache holds for the tokenizer, one row a text; none if there is no cache yet."""
     if not path_exists(spark, path):
-        return None
+        return spark.createDataFrame([], "content binary, n_tokens long")
     rows = spark.read.schema(SCHEMA).parquet(path).where(F.col("tokenizer") == tokenizer.digest)
     # writers that ran at once may have appended the same texts
     return rows.groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
 
 
-def _count_misses(docs: DataFrame, tokenizer: Tokenizer, wanted: DataFrame | None, id_free: str) -> DataFrame:
-    """(content, tokenizer, n_tokens), one row for each distinct text of docs, or of those whose digest is wanted."""
+def _count_misses(docs: DataFrame, tokenizer: Tokenizer, wanted: DataFrame, n: int, text_col: str) -> DataFrame:
+    """(content, tokenizer, n_tokens), one row for each of the n wanted digests of texts of docs."""
     file = docs.sparkSession.sparkContext.broadcast(tokenizer.file)
     kind, by_word = tokenizer.kind, tokenizer.by_word
 
@@ -110,33 +110,40 @@ def _count_misses(docs: DataFrame, tokenizer: Tokenizer, wanted: DataFrame | Non
         count = Counter(file.value, kind, by_word)
         return lambda texts: [count(texts)]
 
-    texts = docs.select(content_digest(col(id_free), by_word).alias("content"), F.coalesce(col(id_free), F.lit("")).alias("text"))
-    few = wanted is not None and wanted.count() <= BROADCAST_MISSES
+    texts = docs.select(content_digest(col(text_col), by_word).alias("content"), F.coalesce(col(text_col), F.lit("")).alias("text"))
+    few = n <= BROADCAST_MISSES
     if few:
         texts = texts.join(F.broadcast(wanted), "content", "left_semi")
     # copies are combined before the shuffle, so a text that many rows share moves once for each task
     one = texts.groupBy("content").agg(F.first("text").alias("text"))
-    if wanted is not None and not few:
+    if not few:
         one = one.join(wanted, "content", "left_semi")
     counted = map_text(one, "text", [T.StructField("n_tokens", T.LongType())], make, ["content"])
     return counted.select("content", F.lit(tokenizer.digest).alias("tokenizer"), "n_tokens")
 
 
-def count_tokens(docs: DataFrame, tokenizer: Tokenizer, cache: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def count_tokens(docs: DataFrame, tokenizer: Tokenizer, cache: str | None = None, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit (n_tokens > limit) of every row of docs.
 
     cache is a path that all executors reach: a Parquet table of counts by digests of content and
     tokenizer. Texts that it has are not encoded; the others are, once for each distinct one, and
-    are appended. Null texts count as empty; ids may be null or repeated; no rows give no rows;
-    other columns are ignored."""
+    are appended. Without a path the cache is a new one, deleted once the result is written.
+
+    Null texts count as empty; ids may be null or repeated, and repeated rows come out as often;
+    texts are whole, however long; no rows give no rows; other columns, whatever their names, are
+    ignored."""
     spark = docs.sparkSession
+    path = cache or shared_path(spark, "token-counts")
     digest = content_digest(col(text_col), tokenizer.by_word)
     sized = checkpoint(docs.select(col(id_col).alias("doc_id"), F.coalesce(F.octet_length(col(text_col)), F.lit(0)).cast("long").alias("n_bytes"), digest.alias("content")))
-    known = read_cache(spark, cache, tokenizer)
-    misses = None
-    if known is not None:
-        misses = checkpoint(sized.select("content").distinct().join(known, "content", "left_anti"))
-    if misses is None or misses.limit(1).count():
-        _count_misses(docs, tokenizer, misses, text_col).write.mode("append").parquet(cache)
-    known = read_cache(spark, cache, tokenizer)
-    return sized.join(known, "content").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    misses = checkpoint(sized.select("content").distinct().join(read_cache(spark, path, tokenizer), "content", "left_anti"))
+    if n := misses.count():
+        _count_misses(docs, tokenizer, misses, n, text_col).write.mode("append").parquet(path)
+    forget(misses)
+    known = settled(read_cache(spark, path, tokenizer), "content")
+    out = sized.join(known, "content").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    if cache is None:
+        out = checkpoint(out)
+        forget(sized)
+        delete_path(spark, path)
+    return out
