@@ -7,15 +7,17 @@ confidence that holds for all strata and features together."""
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marlspike.llm.common import checkpoint, col, fresh, map_text
+from marlspike.llm.common import checkpoint, col, forget, fresh, map_text
 
 #: Words of a window, for repeats.
 WINDOW = 8
@@ -28,8 +30,10 @@ _BLOCK_WORDS = 400_000
 #: At most this part of a stratum's good documents may be rejected by all cutoffs together, but for
 #: a chance of DELTA that any cutoff of any stratum breaks its part of it.
 RISK, DELTA = 0.01, 0.05
-#: Strata with the most good labelled documents that get cutoffs; any others keep what passes the base rules.
-MAX_STRATA = 256
+#: Up to so many strata, their cutoffs (40 bytes each) go to every task; more are joined by a shuffle.
+BROADCAST_STRATA = 100_000
+#: Up to so many labelled documents, their ids (8 bytes each) go to every task, and only they are read for the cutoffs.
+BROADCAST_LABELS = 1_000_000
 #: Cutoffs of each feature from lax to strict. A document with a greater value is rejected.
 GRID = {
     "symbol_ratio": [0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.12, 0.1, 0.08, 0.06, 0.05, 0.04, 0.03, 0.02, 0.015, 0.01],
@@ -182,31 +186,40 @@ def stratum_cutoffs(n: int, rejected: dict[str, list[int]], caught: dict[str, li
     return choose_cutoffs(n, {f: rejected[f] for f in some}, {f: caught[f] for f in some}, risk * len(GRID) / m, delta / m)
 
 
-def fit(features: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA, max_strata: int = MAX_STRATA) -> DataFrame:
+def _cutoff_maker(total: dict, risk: float, part: float):
+    """Cutoffs of strata from rows of their counts; total has the sums of all strata."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for r in batch.to_pylist():
+                good, bad = [{f: [r[f"{name}_{f}_{i}"] for i in range(len(cs))] for f, cs in GRID.items()} for name in ("good", "bad")]
+                others = [{f: [total[f"{name}_{f}_{i}"] - x for i, x in enumerate(own[f])] for f in GRID} for name, own in (("good", good), ("bad", bad))]
+                useful = usefulness(total["n"] - r["n"], *others, risk)
+                cut = stratum_cutoffs(r["n"], good, bad, sorted(GRID, key=lambda f: -useful[f]), risk, part)
+                found.append([cut.get(f) for f in GRID])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, pa.float64()) for x in zip(*found)]], names=["stratum", *GRID])
+
+    return run
+
+
+def fit(features: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
     """Cutoffs (stratum, one column for each feature) from features (doc_id, stratum, FEATURES) and labels (doc_id, quality).
 
     A document is good if all its labels say 1. Those that the base rules reject anyway don't count.
     delta is divided by the number of strata. A stratum too small for all features gives its risk to
     those that are most useful in the other strata together, so that its own good documents have no
-    part in the choice. All labelled documents are counted, in
-    Spark; only one row of counts for each of the max_strata largest strata comes to the driver."""
-    judged = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg((F.min("quality") == 1).alias("good"))
-    known = features.join(judged, "doc_id").where(~base_failed(F.col("n_words"), F.col("n_repeat_words")))
+    part in the choice. All labelled documents are counted and every stratum is fitted, in Spark;
+    only the sums over all strata, one row, come to the driver."""
+    known = features.join(_judged(labels), "doc_id").where(~base_failed(F.col("n_words"), F.col("n_repeat_words")))
     value = ratios({f: F.col(f) for f in FEATURES})
-    counts = [F.count_if((value[f] > c) & which).alias(f"{name}_{f}_{i}") for f, cs in GRID.items() for i, c in enumerate(cs) for name, which in (("good", F.col("good")), ("bad", ~F.col("good")))]
-    per = known.groupBy("stratum").agg(F.count_if("good").alias("n"), *counts)
-    rows = per.orderBy(F.desc("n"), F.asc_nulls_last("stratum")).limit(max_strata).collect()
-    part = delta / max(1, len(rows))
-    tables = [[{f: [r[f"{name}_{f}_{i}"] for i in range(len(cs))] for f, cs in GRID.items()} for name in ("good", "bad")] for r in rows]
-    total = [{f: [sum(t[k][f][i] for t in tables) for i in range(len(cs))] for f, cs in GRID.items()} for k in (0, 1)]
-    chosen = []
-    for r, (good, bad) in zip(rows, tables, strict=True):
-        others = [{f: [x - y for x, y in zip(total[k][f], own[f], strict=True)] for f in GRID} for k, own in enumerate((good, bad))]
-        useful = usefulness(sum(x["n"] for x in rows) - r["n"], *others, risk)
-        cut = stratum_cutoffs(r["n"], good, bad, sorted(GRID, key=lambda f: -useful[f]), risk, part)
-        chosen.append((r["stratum"], *[cut.get(f) for f in GRID]))
-    stratum = T.StructField("stratum", features.schema["stratum"].dataType)
-    return features.sparkSession.createDataFrame(chosen, T.StructType([stratum] + [T.StructField(f, T.DoubleType()) for f in GRID]))
+    names = {f"{name}_{f}_{i}": (value[f] > c) & which for f, cs in GRID.items() for i, c in enumerate(cs) for name, which in (("good", F.col("good")), ("bad", ~F.col("good")))}
+    per = checkpoint(known.groupBy("stratum").agg(F.count_if("good").alias("n"), *[F.count_if(which).alias(x) for x, which in names.items()]))
+    total = per.agg(F.count(F.lit(1)).alias("strata"), *[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("n", *names)]).first().asDict()
+    schema = T.StructType([T.StructField("stratum", features.schema["stratum"].dataType)] + [T.StructField(f, T.DoubleType()) for f in GRID])
+    cut = checkpoint(per.mapInArrow(_cutoff_maker(total, risk, delta / max(1, total["strata"])), schema))
+    forget(per)
+    return F.broadcast(cut) if total["strata"] <= BROADCAST_STRATA else cut
 
 
 def passes(f: dict[str, Column], cutoff: dict[str, Column]) -> Column:
@@ -217,37 +230,41 @@ def passes(f: dict[str, Column], cutoff: dict[str, Column]) -> Column:
     return ok
 
 
-def _labels(labels: DataFrame) -> DataFrame:
-    return labels.select(F.col("doc_id"), F.col("quality"))
+def _judged(labels: DataFrame) -> DataFrame:
+    """(doc_id, good) of the documents with a label."""
+    return labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg((F.min("quality") == 1).alias("good"))
 
 
-def quality_report(docs: DataFrame, labels: DataFrame, stratum_col: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def quality_report(docs: DataFrame, labels: DataFrame, stratum_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", risk: float = RISK, delta: float = DELTA) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept of every row of docs.
 
     kept is false if the base rules fail, or a cutoff of the document's stratum rejects it. A null
     text has no words. A null stratum is one of its own; a null id has no label. Repeated rows come
-    out as often. Without labels, or without rows, only the base rules apply. Texts are read once."""
+    out as often. Without labels, or without rows, only the base rules apply. Other columns, whatever
+    their names, are ignored. Whole texts are read once."""
     base = docs.select(col(id_col).alias("doc_id"), col(stratum_col).alias("stratum"), col(text_col).alias("text"))
     found = checkpoint(with_features(base, "text", ["doc_id", "stratum"], list(FEATURES)))
-    cut = fit(found, _labels(labels)).withColumnRenamed("stratum", "of")
+    cut = fit(found, labels.select("doc_id", "quality"), risk, delta).withColumnRenamed("stratum", "of")
     failed = base_failed(F.col("n_words"), F.col("n_repeat_words"))
     ok = passes({f: F.col(f) for f in FEATURES}, {f: F.col(f) for f in GRID})
-    # at most MAX_STRATA rows
-    judged = found.join(F.broadcast(cut), F.col("stratum").eqNullSafe(F.col("of")), "left")
+    judged = found.join(cut, F.col("stratum").eqNullSafe(F.col("of")), "left")
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ok).alias("kept"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, stratum_col: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, stratum_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", risk: float = RISK, delta: float = DELTA) -> DataFrame:
     """The rows of docs that quality_report() keeps, with all their columns and no shuffle of texts.
 
-    Texts are read twice: for the cutoffs, and to judge each row where it is."""
+    Nulls, empty texts, repeated rows, and tables without rows or labels are as there; columns of any
+    name stay as they are. Labelled texts are read for the cutoffs, then each row is judged where it is."""
     base = docs.select(col(id_col).alias("doc_id"), col(stratum_col).alias("stratum"), col(text_col).alias("text"))
-    known = with_features(base, "text", ["doc_id", "stratum"], list(FEATURES))
-    cut = fit(known, _labels(labels))
+    labelled = _judged(labels).select("doc_id")
+    few = labelled.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS
+    known = with_features(base.join(F.broadcast(labelled), "doc_id", "left_semi") if few else base, "text", ["doc_id", "stratum"], list(FEATURES))
+    cut = fit(known, labels.select("doc_id", "quality"), risk, delta)
     names = fresh(docs, *FEATURES, "of", *GRID)
     feature, of, cutoff = names[: len(FEATURES)], names[len(FEATURES)], names[len(FEATURES) + 1 :]
     cut = cut.toDF(of, *cutoff)
-    rows = with_features(docs, text_col, docs.columns, feature).join(F.broadcast(cut), col(stratum_col).eqNullSafe(F.col(of)), "left")
+    rows = with_features(docs, text_col, docs.columns, feature).join(cut, col(stratum_col).eqNullSafe(F.col(of)), "left")
     f = {n: F.col(x) for n, x in zip(FEATURES, feature, strict=True)}
     ok = passes(f, {n: F.col(x) for n, x in zip(GRID, cutoff, strict=True)})
     return rows.where(~base_failed(f["n_words"], f["n_repeat_words"]) & ok).select(*[col(c) for c in docs.columns])

@@ -116,6 +116,23 @@ def test_small_strata_give_their_risk_to_the_most_useful_feature(spark):
     assert all(kept[i] == bool(q) for i, q, _ in labels)
 
 
+def test_more_strata_than_any_cap(spark, monkeypatch):
+    r = random.Random(5)
+    rows, labels = [], []
+    for lang in range(300):
+        for i in range(40):
+            good = i % 4 > 0
+            labels.append((len(rows), int(good), 0))
+            rows.append((len(rows), " ".join(f"w{r.randrange(500)}" + ("" if good else "##|") for _ in range(20)), f"l{lang}" if lang else None))
+    table = spark.createDataFrame(labels, LABELS)
+    for most in (100_000, 10):  # by broadcast and by a shuffle
+        monkeypatch.setattr(quality, "BROADCAST_STRATA", most)
+        monkeypatch.setattr(quality, "BROADCAST_LABELS", most)
+        kept = {x.doc_id: x.kept for x in quality.quality_report(docs_of(spark, rows), table, risk=0.5).collect()}
+        assert all(kept[i] == bool(q) for i, q, _ in labels)
+        assert {x.doc_id for x in quality.keep_good(docs_of(spark, rows, extra=True), table, risk=0.5).collect()} == {i for i, q, _ in labels if q}
+
+
 def quality_ratios(text):
     n, chars, symbols, dup, repeat, _ = brute_quality(text)
     lines = sum(bool(words(x)) for x in (text or "").split("\n"))
