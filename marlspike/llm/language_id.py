@@ -13,13 +13,17 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from marlspike.llm.common import col, map_text
+from marlspike.llm.common import checkpoint, col, map_text
 
 #: Units of each direction, bytes of a window, windows computed at once.
 HIDDEN, WINDOW, BATCH = 12, 128, 2048
-#: Training: languages (the most frequent) and documents of each at most: the bounds of the sample. Windows of each document, bytes of those.
-MAX_LANGS, DOCS_PER_LANG, WINDOWS_PER_DOC, TRAIN_WINDOW = 256, 300, 6, 64
+#: Training: documents of each language, and of all together, at most (but one of each language at least): the bounds of the
+#: sample. Windows of each document, from places all over it, and bytes of those.
+DOCS_PER_LANG, DOCS, WINDOWS_PER_DOC, TRAIN_WINDOW = 300, 60_000, 6, 64
+#: Up to so many languages, their sizes go to every task.
+BROADCAST_LANGS = 100_000
 STEPS, TRAIN_BATCH, RATE, SEED = 350, 256, 0.02, 7
 #: Share of documents that are held out, by crc32 of the id: remainder HELD_OUT of FOLDS.
 FOLDS, HELD_OUT = 3, 1
@@ -220,36 +224,40 @@ def fold_of(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS, F.lit(0))
 
 
-def fit(docs: DataFrame, per_lang: int = DOCS_PER_LANG, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+def fit(
+    docs: DataFrame, per_lang: int = DOCS_PER_LANG, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_docs: int = DOCS, windows_per_doc: int = WINDOWS_PER_DOC, window: int = TRAIN_WINDOW
+) -> Model:
     """Train on documents outside the held-out fold that have a language and a text.
 
-    Of each of the MAX_LANGS most frequent languages at most per_lang documents, those with the
-    smallest hashes of their ids, give up to WINDOWS_PER_DOC windows each, spread over the text: a
-    bounded sample, whatever the size of docs. Rows that repeat an id count once."""
+    Every language is learned. Of each at most per_lang documents, and at most most_docs of all, give
+    up to windows_per_doc windows: those with the smallest hashes of their ids, one of each language
+    at least. The windows of a document begin at a place of its hash in each of as many equal parts,
+    so any part of any document may be drawn. That is a bounded sample, whatever the size of docs.
+    Rows that repeat an id count once."""
     known = docs.select(col(id_col).alias("id"), col(text_col).alias("text"), col(lang_col).alias("lang")).where((fold_of(F.col("id")) != HELD_OUT) & F.col("lang").isNotNull() & (F.length("text") > 0))
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()}
-    if not counts:
-        return new_model([])
-    langs = sorted(counts)
-    # about per_lang of each language by the hash alone, then no more than that in each
-    share = F.coalesce(F.element_at(F.create_map(*[F.lit(v) for k in langs for v in (k, min(1.0, 1.3 * per_lang / counts[k]))]), F.col("lang")), F.lit(0.0))
     place = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / float(1 << 20)
-    n = F.length("text")
-    spread = F.transform(F.sequence(F.lit(0), F.lit(WINDOWS_PER_DOC - 1)), lambda i: F.substring("text", (n * i / WINDOWS_PER_DOC).cast("int") + 1, F.lit(TRAIN_WINDOW)))
-    near = known.where(place < share).select("lang", "id", place.alias("place"), spread.alias("parts"))
-    once = near.groupBy("lang", "id").agg(F.min("place").alias("place"), F.min("parts").alias("parts"))
-    rows = once.orderBy("place", "lang", "id").limit(2 * per_lang * len(langs)).collect()
-    rows.sort(key=lambda r: (r["lang"], r["place"], str(r["id"]), r["parts"]))
-    taken: dict[str, int] = {}
+    counts = checkpoint(known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("least")))
+    langs = sorted(r["lang"] for r in counts.select("lang").collect())
+    if not langs:
+        return new_model([])
+    per_lang = max(1, min(per_lang, most_docs // len(langs)))
+    # about per_lang of each language by the hash alone, the first in any case, then no more than that in each
+    share = counts.select("lang", F.greatest("least", F.lit(1.3 * per_lang) / F.col("n")).alias("share"))
+    n, seed = F.length("text"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1 << 20)) / float(1 << 20)
+    spread = F.transform(F.sequence(F.lit(0), F.lit(windows_per_doc - 1)), lambda i: F.substring("text", (n * (i + seed) / windows_per_doc).cast("int") + 1, F.lit(window)))
+    near = known.join(F.broadcast(share) if len(langs) <= BROADCAST_LANGS else share, "lang").where(place <= F.col("share"))
+    once = near.select("lang", "id", place.alias("place"), spread.alias("parts")).groupBy("lang", "id").agg(F.min("place").alias("place"), F.min("parts").alias("parts"))
+    order = Window.partitionBy("lang").orderBy("place", F.col("id").cast("string"))
+    rows = once.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= per_lang).collect()
+    rows.sort(key=lambda r: (r["lang"], r["turn"]))
+    number = {lang: i for i, lang in enumerate(langs)}
     cut, y = [], []
     for r in rows:
-        taken[r["lang"]] = taken.get(r["lang"], 0) + 1
-        if taken[r["lang"]] <= per_lang:
-            for part in dict.fromkeys(r["parts"]):
-                raw = part.encode("utf-8", "surrogatepass")[:TRAIN_WINDOW]
-                if raw:
-                    cut.append(windows_of(raw, TRAIN_WINDOW))
-                    y.append(langs.index(r["lang"]))
+        for part in dict.fromkeys(r["parts"]):
+            raw = part.encode("utf-8", "surrogatepass")[:window]
+            if raw:
+                cut.append(windows_of(raw, window))
+                y.append(number[r["lang"]])
     labels = np.array(y)
     # as many windows of each language
     each = [np.flatnonzero(labels == i) for i in range(len(langs))]
@@ -263,7 +271,8 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     lang_pred is 'und' with score 0 for a null text, one without a letter, or a model without
     languages; of equal probabilities the first language wins. A null id is not held out; repeated
-    rows come out as often; no rows give no rows; other columns are ignored."""
+    rows come out as often; texts are read whole, however long; no rows give no rows; other columns,
+    whatever their names, are ignored."""
     parts = (model.langs, model.table, model.u, model.c, model.w, model.b)
     shared = docs.sparkSession.sparkContext.broadcast(parts)
 

@@ -141,6 +141,22 @@ def test_language_id_held_out_accuracy(spark, monkeypatch):
     assert {r.lang_pred for r in language_id.identify(docs_of(spark, [(1, "text", None)])).collect()} == {"und"}
 
 
+def test_every_language_is_learned_from_all_of_a_text(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(language_id, "train", lambda windows, y, langs: seen.update(windows=windows, y=y, langs=langs))
+    langs = [f"l{i}" for i in range(300)]
+    rows = [(i, f"word {i} of it", lang) for i, lang in enumerate(langs * 4)] + [(10_000 + i, f"text {i}", "hot") for i in range(900)]
+    kept = {r[2] for r in rows if not held_out(r[0])}
+    for lanes in (100_000, 5):  # by broadcast and by a shuffle
+        monkeypatch.setattr(language_id, "BROADCAST_LANGS", lanes)
+        language_id.fit(docs_of(spark, rows), per_lang=3, most_docs=600)
+        assert seen["langs"] == sorted(kept) and len(kept) > 290
+        assert set(seen["y"]) == set(range(len(kept)))
+    long_text = "".join(chr(97 + i // 100) for i in range(2600))
+    language_id.fit(docs_of(spark, [(i, long_text, "x") for i in range(200)]), windows_per_doc=2, window=8)
+    assert {bytes([b]) for b in seen["windows"].ravel() if b < 256} == {bytes([97 + i]) for i in range(26)}
+
+
 def _dice(words, template):
     import collections
 
