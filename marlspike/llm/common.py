@@ -43,12 +43,16 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def forget(*frames: DataFrame) -> None:
-    """Delete the files of checkpoints that nothing reads any more. Frames must come from checkpoint()."""
+    """Delete the files of checkpoints that nothing reads any more. Frames must come from checkpoint().
+
+    Spark deletes the shuffle files of plans that have become garbage, but only once the driver
+    collects it, which may be long after: so this asks for it."""
     for df in frames:
-        rdd = df._jdf.queryExecution().logical().rdd()
-        file = rdd.getCheckpointFile()
+        file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
         if file.isDefined():
             delete_path(df.sparkSession, file.get())
+    if frames:
+        frames[0].sparkSession._jvm.System.gc()
 
 
 def settled(table: DataFrame, *keys: str) -> DataFrame:

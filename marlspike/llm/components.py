@@ -26,22 +26,23 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
     return out.where("a < b").distinct()
 
 
+def _loose(edges: DataFrame) -> bool:
+    """Whether the edges are anything else than stars of greater nodes around a smallest one."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))).alias("e"))
+    return bool(ends.groupBy("e.node").agg((F.max("e.up") + F.sum("e.down")).alias("n")).where("n > 1").limit(1).count())
+
+
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of links (a, b) with a < b; component is its smallest node.
 
-    Each round is written to the shared folder. Rounds grow with the logarithm of the longest
-    chain; the edges end as stars around each component's smallest node."""
-    edges = checkpoint(links.select("a", "b"))
-    n, total = edges.count(), None
+    Each round is written to the shared folder and the one before deleted. Rounds grow with the
+    logarithm of the longest chain; the edges end as stars around each component's smallest node."""
+    edges = checkpoint(links.select("a", "b").distinct())
     for _ in range(most_rounds):
-        if not n:
+        if not _loose(edges):
             break
         before, edges = edges, checkpoint(_star(_star(edges, small=False), small=True))
         forget(before)
-        state = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.hash("a", "b").cast("long")).alias("s"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("x")).first()
-        if state == total:
-            break
-        total = state
     else:
         raise RuntimeError("components did not settle")
     stars = edges.select(F.col("b").alias("node"), F.col("a").alias("component"))

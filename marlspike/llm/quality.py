@@ -33,7 +33,7 @@ RISK, DELTA = 0.01, 0.05
 #: Up to so many strata, their cutoffs (40 bytes each) go to every task; more are joined by a shuffle.
 BROADCAST_STRATA = 100_000
 #: Up to so many labelled documents, their ids (8 bytes each) go to every task, and only they are read for the cutoffs.
-BROADCAST_LABELS = 1_000_000
+BROADCAST_LABELS = 200_000
 #: Cutoffs of each feature from lax to strict. A document with a greater value is rejected.
 GRID = {
     "symbol_ratio": [0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.12, 0.1, 0.08, 0.06, 0.05, 0.04, 0.03, 0.02, 0.015, 0.01],

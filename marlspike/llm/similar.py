@@ -246,8 +246,8 @@ def similar_parts(nodes: DataFrame, some: DataFrame, similarity: float, shingle:
 
     Keys with up to WIDE sets give all their pairs. In wider ones, where near copies crowd, each set
     is first compared with a few centres of its key; sets that links join, by whatever key, need no
-    link of their own. Once keys have few pairs in different components, or after ROUNDS rounds of
-    centres, all such pairs are compared. So no link is lost, and work grows with the square of a
+    link of their own. Once keys have few pairs in different components, or a round of centres found
+    no link, or after ROUNDS of them, all such pairs are compared. So no link is lost, and work grows with the square of a
     key's sets only as far as these are unlike, though they share rare shingles and have enough
     left after those."""
     rows = nodes.select("node", "size", F.posexplode("prefix").alias("at", "key")).select("key", "node", "size", (F.col("size") - F.col("at")).alias("left"), "at")
@@ -261,6 +261,7 @@ def similar_parts(nodes: DataFrame, some: DataFrame, similarity: float, shingle:
         pairs = pairs.unionByName(_pairs(_named(_centres(open_, 0), "x", "part"), _named(open_, "y", "part"), similarity, unlike))
     found = _verified(pairs, nodes, some, similarity, shingle)
     parts, spent = checkpoint(components(found).withColumnRenamed("component", "part")), [shared]
+    stalled = False
     for turn in range(1, ROUNDS + 1) if any_wide else ():
         placed = checkpoint(open_.drop("part").join(parts, "node", "left").withColumn("part", F.coalesce("part", "node")))
         each = placed.groupBy("key", "part").agg(F.count(F.lit(1)).cast("double").alias("n"))
@@ -272,10 +273,10 @@ def similar_parts(nodes: DataFrame, some: DataFrame, similarity: float, shingle:
         spent = [open_]
         if not n:
             break
-        last = turn == ROUNDS or left <= FEW_PAIRS * n
+        last = turn == ROUNDS or stalled or left <= FEW_PAIRS * n
         pairs = _pairs(_named(open_ if last else _centres(open_, turn), "x", "part"), _named(open_, "y", "part"), similarity, F.col("xpart") < F.col("ypart") if last else unlike)
         new = _verified(pairs, nodes, some, similarity, shingle)
-        if new.limit(1).count():
+        if not (stalled := not new.limit(1).count()):
             found = found.unionByName(new)
             forget(parts)
             parts = checkpoint(components(found).withColumnRenamed("component", "part"))
