@@ -46,6 +46,12 @@ class _Writer:
         catalog.freeze()
         self.catalog, self.table = catalog, catalog.table(table)
         self._returning: list[str] | None = None
+        self._checks = True
+
+    def checked(self, on: bool = True) -> Any:
+        """Whether execute() checks keys and references (inserts and updates do so by default), or acts by the foreign keys on what refers to deleted rows (deletions do so only if told to)."""
+        self._checks = on
+        return self
 
     def returning(self, *columns: str) -> Any:
         self._returning = list(columns)
@@ -55,11 +61,40 @@ class _Writer:
         raise NotImplementedError
 
     def execute(self) -> DataFrame:
-        """Write the new rows and give the affected ones."""
+        """Write the new rows and give the affected ones, if keys stay unique and references hold; else raise.
+
+        What a checked deletion does to rows that refer to those deleted, by the foreign keys' actions, is written with it."""
         done = self.change()
-        self.catalog.store.write(self.table, done.new)
+        more = self.check(done) if self._checks else []
+        if more:
+            with self.catalog.store.unit():
+                for x in [done, *more]:
+                    self.catalog.store.write(x.table, x.new)
+        else:
+            self.catalog.store.write(self.table, done.new)
         return _returned(done.affected, self.table, self._returning)
 
+    def check(self, done: Change) -> list[Change]:
+        """Raise if the change breaks a key or a reference; the changes to other tables that it brings with it."""
+        return []
+
+
+def check_keys(table: Table, new: DataFrame, affected: DataFrame, keys: list[list[str]]) -> None:
+    """Raise if an affected row shares a key with another row. Keys with a null never conflict."""
+    for key in keys:
+        cols = table.full_names(key)
+        some = affected.select(*cols).dropna().distinct()
+        if new.join(some, cols, "left_semi").groupBy(*cols).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").limit(1).count():
+            raise QueryError(f"{table.name} has rows with the same {', '.join(key)}")
+
+
+def check_references(catalog: Catalog, table: Table, affected: DataFrame, columns: set[str] | None = None) -> None:
+    """Raise if an affected row refers to a missing one, by the foreign keys that have any of the columns."""
+    known = {f"{'_'.join(f.columns)}->{catalog.table(f.reference).name}": f for f in table.foreign_keys}
+    for name, bad in orphans(catalog, table, affected).items():
+        if (columns is None or columns & set(known[name].columns)) and bad.limit(1).count():
+            raise QueryError(f"{table.name} has rows that refer to missing ones: {name}")
+
 
 class Insert(_Writer):
     def __init__(self, catalog: Catalog, table: Any):
@@ -155,6 +190,11 @@ class Insert(_Writer):
         new = new.select(*names)
         return Change(self.table, old.unionByName(new), new)
 
+    def check(self, done: Change) -> list[Change]:
+        check_keys(self.table, done.new, done.affected, self.table.keys())
+        check_references(self.catalog, self.table, done.affected)
+        return []
+
     def _upsert(self, old: DataFrame, new: DataFrame, given: list[str]) -> Change:
         t = self.table
         key = t.full_names(self.conflict or t.identity())
@@ -258,6 +298,12 @@ class Update(_Chooser):
         super().__init__(catalog, table, alias)
         self.sets: dict[str, Any] = {}
 
+    def check(self, done: Change) -> list[Change]:
+        names = {c.name for c in self.table.columns.values() if c.full_name in self.sets}
+        check_keys(self.table, done.new, done.affected, [k for k in self.table.keys() if names & {self.table.column(n).name for n in k}])
+        check_references(self.catalog, self.table, done.affected, names)
+        return []
+
     def set(self, values: dict[str, Any]) -> Update:
         """Values, or Raw and Columns over the row as it was."""
         for k, v in values.items():
@@ -282,6 +328,13 @@ class Update(_Chooser):
 class Delete(_Chooser):
     """Rows for which WHERE is null stay; without WHERE all go. Outer joins keep their meaning."""
 
+    def __init__(self, catalog: Catalog, table: Any, alias: str | None = None):
+        super().__init__(catalog, table, alias)
+        self._checks = False
+
+    def check(self, done: Change) -> list[Change]:
+        return cascade(self.catalog, self.table, done.affected)
+
     def change(self) -> Change:
         df, chosen = self.marked()
         names = [F.col(f"{self.alias}.{c.full_name}") for c in self.table.columns.values()]

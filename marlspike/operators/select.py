@@ -6,9 +6,11 @@ scans, comma joins with an equality become equi-joins, ORDER BY with LIMIT becom
 from __future__ import annotations
 
 import copy
+import datetime as dt
 import enum
 import re
 from collections.abc import Callable
+from decimal import Decimal
 from typing import Any
 
 from pyspark.sql import Column as SparkColumn
@@ -40,12 +42,59 @@ def quote(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def literal(v: Any) -> str:
+    """A value as an SQL literal of its own type. Values of other types than these are refused."""
+    if isinstance(v, enum.Enum):
+        v = v.value
+    if v is None:
+        return "NULL"
+    if isinstance(v, bool):
+        return str(v).lower()
+    if isinstance(v, str):
+        return quote(v)
+    if isinstance(v, int):
+        return str(v) if -(1 << 63) <= v < 1 << 63 else f"CAST('{v}' AS DECIMAL(38, 0))"
+    if isinstance(v, float):
+        return f"DOUBLE('{v!r}')"
+    if isinstance(v, Decimal):
+        digits = v.as_tuple()
+        if not v.is_finite():
+            raise QueryError(f"{v} cannot be bound in an expression")
+        scale = max(0, -digits.exponent)
+        return f"CAST('{v:f}' AS DECIMAL({min(38, max(len(digits.digits) + max(0, digits.exponent), scale + 1))}, {scale}))"
+    if isinstance(v, dt.datetime):
+        return f"TIMESTAMP '{v.isoformat(sep=' ')}'" if v.tzinfo else f"TIMESTAMP_NTZ '{v.isoformat(sep=' ')}'"
+    if isinstance(v, dt.date):
+        return f"DATE '{v.isoformat()}'"
+    if isinstance(v, (bytes, bytearray)):
+        return f"X'{bytes(v).hex()}'"
+    raise QueryError(f"a value of type {type(v).__name__} cannot be bound in an expression")
+
+
 class _Source:
     def __init__(self, alias: str, df: DataFrame, table: Table | None):
         self.alias, self.table, self.df = alias, table, df.alias(alias)
         self.columns = df.columns
 
 
+#: Group texts that name several groupings at once.
+_GROUPING = re.compile(r"(ROLLUP|CUBE|GROUPING\s+SETS)\s*\((.*)\)", re.I | re.S)
+
+
+def split_list(text: str) -> list[str]:
+    """The parts of a text between commas outside of parentheses and quotes."""
+    out, depth, part = [], 0, ""
+    for m in re.finditer(r"'(?:[^'\\]|\\.)*'|`[^`]*`|[(),]|[^'`(),]+|.", text, re.S):
+        x = m[0]
+        depth += (x == "(") - (x == ")")
+        if x == "," and not depth:
+            out.append(part)
+            part = ""
+        else:
+            part += x
+    return [x.strip() for x in [*out, part] if x.strip()]
+
+
 class JoinBuilder:
     """host JOIN target ON condition; without a condition every pair joins."""
 
@@ -76,6 +125,8 @@ class Select:
         self.items: list[tuple[Any, str | None]] = []
         self.filters = Filters()
         self.groups: list[Any] = []
+        self.grouping: str | None = None
+        self.sets: list[list[Any]] = []
         self.having_filters: Any = None
         self.orders: list[tuple[Any, bool]] = []
         self.max: int | None = None
@@ -226,9 +277,39 @@ class Select:
 
     def group_by(self, *expressions: Any) -> Select:
         for e in expressions:
-            self.groups += [x for x in (e if isinstance(e, (list, tuple)) else [e]) if isinstance(x, SparkColumn) or (x and x.strip())]
+            for x in e if isinstance(e, (list, tuple)) else [e]:
+                if isinstance(x, SparkColumn):
+                    self.groups.append(x)
+                elif found := _GROUPING.fullmatch((x or "").strip()):
+                    parts = split_list(found[2])
+                    if found[1].upper().startswith("GROUPING"):
+                        self.grouping_sets(*[split_list(y[1:-1]) if y.startswith("(") else [y] for y in parts])
+                    else:
+                        getattr(self, found[1].lower())(*parts)
+                elif x and x.strip():
+                    self.groups.append(x)
         return self
 
+    def rollup(self, *expressions: Any) -> Select:
+        """Group by all of the expressions, by all but the last, and so on down to one group of all rows."""
+        self.grouping = "rollup"
+        return self.group_by(*expressions)
+
+    def cube(self, *expressions: Any) -> Select:
+        """Group by each subset of the expressions."""
+        self.grouping = "cube"
+        return self.group_by(*expressions)
+
+    def grouping_sets(self, *sets: list | tuple) -> Select:
+        """Group by each of the lists of expressions; an empty one is one group of all rows."""
+        self.sets = [list(x) for x in sets]
+        seen: list[Any] = []
+        for e in (e for x in self.sets for e in x):
+            if not any(e is k or (isinstance(e, str) and e == k) for k in seen):
+                seen.append(e)
+        self.grouping = "sets"
+        return self.group_by(*seen)
+
     def having(self, condition: Any) -> Select:
         """Replaces what was there. Aggregates need not be selected, and output names may be used."""
         self.having_filters = condition
@@ -288,14 +369,14 @@ class Select:
         if not self.bindings:
             return text
 
-        def literal(m: Any) -> str:
+        def bound(m: Any) -> str:
             if m[1] is None or m[1] not in self.bindings:
                 return m[0]
             v = self.bindings[m[1]]
             values = list(dict.fromkeys(v)) if isinstance(v, (list, tuple)) else [v]
-            return ", ".join("NULL" if x is None else quote(x) if isinstance(x, str) else str(x).lower() if isinstance(x, bool) else str(x) for x in values) or "NULL"
+            return ", ".join(map(literal, values)) or "NULL"
 
-        return re.sub(r"'(?:[^'\\]|\\.)*'|`[^`]*`|(?<![:\w]):(\w+)", literal, text)
+        return re.sub(r"'(?:[^'\\]|\\.)*'|`[^`]*`|(?<![:\w]):(\w+)", bound, text)
 
     def _value(self, what: Any) -> SparkColumn:
         """A select item, group or order key: a field if it is one, else an expression."""
@@ -384,7 +465,13 @@ class Select:
         df = self.rows()
         if grouped:
             having = [self._conditions(self.having_filters, _Named(self, by_name)).alias("_h")] if self.having_filters is not None else []
-            df = df.groupBy(*[self._value(g) for g in self.groups]).agg(*hidden, *sorts, *having)
+            keys = [self._value(g) for g in self.groups]
+            if self.grouping == "sets":
+                named = {g: k for g, k in zip(self.groups, keys, strict=True) if isinstance(g, str)}
+                groups = df.groupingSets([[named[g] if isinstance(g, str) else g for g in x] for x in self.sets], *keys)
+            else:
+                groups = getattr(df, self.grouping or "groupBy")(*keys)
+            df = groups.agg(*hidden, *sorts, *having)
             if having:
                 df = df.where("_h")
         else:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 from typing import Any
+from urllib.parse import unquote
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 from marlspike.catalog import Table
@@ -131,8 +134,17 @@ class ParquetStore(Store):
         return self.spark.read.parquet(f"{self.folder}/{table.full_name}/v{seen[-1]}")
 
     def publish(self, table: Table, df: DataFrame) -> None:
-        to = (self.versions(table) or [0])[-1] + 1
-        fs, staged = self._fs(f"{self.folder}/{table.full_name}/staged-{uuid.uuid4().hex}")
+        """Write the rows as the next version; raise, and write nothing, if someone else has published one since df's was read.
+
+        The version is claimed by a file that only one writer can make, before the folder gets its
+        name: a folder that is there already is never renamed onto. A claim without its version is
+        left by a writer that broke off, or is still at work; release() takes it back."""
+        seen = (self.versions(table) or [0])[-1]
+        fs, folder = self._fs(f"{self.folder}/{table.full_name}")
+        read = {int(v) for f in df.inputFiles() for v in re.findall(rf"{re.escape(folder.toUri().getPath())}/v(\d+)/", unquote(f))}
+        if read and read != {seen}:
+            raise QueryError(f"{table.name} has changed: version {min(read)} was read, {seen} is the newest")
+        _, staged = self._fs(f"{folder.toString()}/staged-{uuid.uuid4().hex}")
         writer = df.write
         for i in table.indexes:
             if i.kind == "btree":  # the nearest thing to an index: files sorted by its columns
@@ -140,9 +152,35 @@ class ParquetStore(Store):
                 writer = df.write
                 break
         writer.parquet(staged.toString())
-        _, final = self._fs(f"{self.folder}/{table.full_name}/v{to}")
-        if not fs.rename(staged, final):
-            raise QueryError(f"version {to} of {table.name} was written by someone else")
+        try:
+            self._claim(fs, table, seen + 1)
+            _, final = self._fs(f"{folder.toString()}/v{seen + 1}")
+            if fs.exists(final) or not fs.rename(staged, final):
+                raise QueryError(f"version {seen + 1} of {table.name} was written by someone else")
+        except BaseException:
+            fs.delete(staged, True)
+            raise
+
+    def _claim(self, fs: Any, table: Table, version: int) -> None:
+        token, (_, claim) = uuid.uuid4().hex, self._fs(f"{self.folder}/{table.full_name}/v{version}.claim")
+        try:
+            out = fs.create(claim, False)
+            out.writeBytes(token)
+            out.close()
+        except Py4JJavaError as e:
+            raise QueryError(f"version {version} of {table.name} is being written by someone else") from e
+        # where creating is not exclusive, the last writer's token is the one that is read
+        got = fs.open(claim)
+        try:
+            if bytes(got.readNBytes(len(token))).decode() != token:
+                raise QueryError(f"version {version} of {table.name} is being written by someone else")
+        finally:
+            got.close()
+
+    def release(self, table: Table) -> None:
+        """Take back the claim of a writer that broke off before its version was there."""
+        fs, claim = self._fs(f"{self.folder}/{table.full_name}/v{(self.versions(table) or [0])[-1] + 1}.claim")
+        fs.delete(claim, False)
 
 
 class JdbcStore(Store):

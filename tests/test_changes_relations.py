@@ -126,6 +126,56 @@ def test_parquet_versions(spark, tmp_path):
     assert pairs(c.read("notes"), "id", "body") == [(1, "a"), (2, "B")] and c.store.versions(c.table("notes")) == [1, 2, 3]
 
 
+def test_two_writers_lose_nothing(spark, tmp_path):
+    def catalog():
+        c = Catalog(spark, ParquetStore(spark, str(tmp_path)))
+        c.table_builder("notes", lambda t: t.id().string("body"))
+        return c.freeze()
+
+    a, b = catalog(), catalog()
+    Insert(a, "notes").values({"body": "first"}).execute()
+    late = Insert(b, "notes").values({"body": "late"}).change()
+    Insert(a, "notes").values({"body": "second"}).execute()
+    with pytest.raises(QueryError, match="has changed"):
+        b.store.write(b.table("notes"), late.new)
+    # both have seen the same versions: only one gets the next one
+    t, seen = a.table("notes"), a.store.versions(a.table("notes"))
+    other = ParquetStore(spark, str(tmp_path))
+    other.versions = lambda table: seen
+    a.store.publish(t, spark.createDataFrame([(7, "one")], t.struct()))
+    with pytest.raises(QueryError, match="someone else"):
+        other.publish(t, spark.createDataFrame([(8, "two")], t.struct()))
+    assert pairs(b.read("notes"), "id", "body") == [(7, "one")] and not [x for x in (tmp_path / "notes").iterdir() if "staged" in x.name]
+    (tmp_path / "notes" / "v4.claim").write_text("of one that broke off")
+    with pytest.raises(QueryError, match="someone else"):
+        Insert(b, "notes").values({"body": "x"}).execute()
+    b.store.release(t)
+    Insert(b, "notes").values({"body": "x"}).execute()
+    assert pairs(a.read("notes"), "body") == [("one",), ("x",)]
+
+
+def test_changes_keep_keys_and_references(c):
+    acc = {"client_id": 3, "label": "new", "currency_code": "EUR"}
+    for bad in (
+        lambda: Insert(c, "currencies").values({"code": "EUR", "name": "x", "symbol": "x"}).execute(),
+        lambda: Insert(c, "currencies").values([{"code": "A", "name": "x", "symbol": "x"}] * 2).execute(),
+        lambda: Insert(c, "accounts").values({**acc, "client_id": 1, "label": "main"}).execute(),
+        lambda: Insert(c, "accounts").values({**acc, "client_id": 9}).execute(),
+        lambda: Insert(c, "accounts").values({**acc, "currency_code": "XXX"}).execute(),
+        lambda: Update(c, "accounts").set({"label": "same"}).execute(),
+        lambda: Update(c, "accounts").set({"client_id": 9}).where(Filters().eq("id", 1)).execute(),
+        lambda: Delete(c, "currencies").where(Filters().eq("code", "EUR")).checked().execute(),
+    ):
+        with pytest.raises(QueryError):
+            bad()
+    assert c.read("currencies").count() == 2 and c.read("accounts").count() == 3
+    Insert(c, "accounts").values(acc).execute()
+    Delete(c, "clients").where(Filters().eq("id", 1)).checked().execute()  # takes its accounts and their transactions along
+    assert pairs(c.read("accounts"), "account_id") == [(3,), (4,)] and pairs(c.read("transactions"), "transaction_id") == [(4,)]
+    Insert(c, "currencies").values({"code": "EUR", "name": "x", "symbol": "x"}).checked(False).execute()
+    assert c.read("currencies").count() == 3
+
+
 def test_jdbc_options(spark):
     s = JdbcStore(spark, "postgresql", "h", "db", user="u", password="p", numPartitions="4", lowerBound="0", upperBound="9")
     c = Catalog(spark, s)

@@ -1,3 +1,6 @@
+import datetime as dt
+from decimal import Decimal
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,6 +122,31 @@ def test_bindings(c):
         q().where(Filters().in_("state", ":nothing")).to_df()
 
 
+def test_literals_have_their_types(spark, c):
+    when = dt.datetime(1995, 1, 1, 2, 3, 4, 500000)
+    values = {"d": dt.date(1995, 1, 1), "t": when, "z": when.replace(tzinfo=dt.UTC), "m": Decimal("12.50"), "big": Decimal("1E+3"), "f": 1e300, "i": 1 << 70, "b": b"\x00a", "o": True, "n": None, "s": "it's \\ :d"}
+    q = Select(c).from_("currencies", "y").bind_all(values).limit(1)
+    row = spark.range(1).select(*[q.expression(f":{k}").alias(k) for k in values]).first()
+    want = {**values, "z": row["z"], "i": Decimal(1 << 70), "big": Decimal(1000), "b": bytearray(b"\x00a")}
+    assert row.asDict() == want and spark.range(1).select(q.expression(":z = TIMESTAMP '1995-01-01 02:03:04.5Z'")).first()[0]
+    for bad in (object(), Decimal("NaN"), dt.time(1), {1}):
+        with pytest.raises(QueryError):
+            Select(c).bind("x", bad).expression(":x")
+
+
+def test_groupings(c):
+    q = lambda: Select(c).from_("accounts", "a").select("a", ["client_id", "currency_code"]).select(None, ["count(*) AS n"])
+    key = lambda r: tuple((x is not None, x) for x in r)
+    up = [(None, None, 3), (1, None, 2), (1, "EUR", 1), (1, "USD", 1), (2, None, 1), (2, "EUR", 1)]
+    both = sorted([*up, (None, "EUR", 2), (None, "USD", 1)], key=key)
+    for made in (q().rollup("a.client_id", "a.currency_code"), q().group_by("ROLLUP(a.client_id, a.currency_code)"), q().grouping_sets(["a.client_id", "a.currency_code"], ["a.client_id"], [])):
+        assert sorted(rows(made), key=key) == up
+    for made in (q().cube("a.client_id", "a.currency_code"), q().group_by("cube (a.client_id, a.currency_code)")):
+        assert sorted(rows(made), key=key) == both
+    assert sorted(rows(q().group_by("GROUPING SETS ((a.client_id), (a.currency_code), ())")), key=key) == sorted([r for r in both if r[0] is None or r[1] is None], key=key)
+    assert rows(q().rollup("a.client_id", "a.currency_code").having("count(*) > 2")) == [(None, None, 3)]
+
+
 def test_distinct(c):
     q = Select(c).from_("accounts", "a").select("a", ["currency_code"]).distinct()
     assert rows(q.order_by("account_currency_code").limit(5)) == [("EUR",), ("USD",)]
