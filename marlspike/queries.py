@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlspike import surface
 from marlspike.catalog import Catalog
 from marlspike.evolve import diff, migrate
 from marlspike.functions import jsonops
@@ -568,6 +569,10 @@ def q_migrate(c):
     return migrate(old, new, diff(old, new))["customer"]
 
 
+for _name, (_f, _sql) in surface.FOUND.items():
+    _query(_sql)(_f)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
