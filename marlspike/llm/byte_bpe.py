@@ -17,6 +17,10 @@ from pyspark.sql import types as T
 
 from marlspike.llm.common import map_text
 
+#: Fixed value: the pattern of the rank files, whose matches hold no space but in front.
+SPLITTABLE = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: What an unknown id decodes to: U+FFFD.
+UNKNOWN_BYTES = b"\xef\xbf\xbd"
 #: Encoded words that a task keeps at once.
 MEMO_WORDS = 200_000
 
@@ -76,8 +80,9 @@ def sentencepiece_model(ranks: dict[bytes, int]) -> bytes:
 class ByteBpe:
     """Encodes texts to ids in little-endian 32-bit form, and decodes them.
 
-    A text is cut before each space that a character other than white space follows. The pattern's
-    matches never reach over such a place, so each part's ids are computed once and kept."""
+    A text is cut before each space that a character other than white space follows. Matches of the
+    pattern SPLITTABLE never reach over such a place, so each part's ids are computed once and kept.
+    With any other pattern a text is one part."""
 
     def __init__(self, ranks: dict[bytes, int], model: bytes, pattern: str):
         import sentencepiece
@@ -88,6 +93,7 @@ class ByteBpe:
         self.of_piece = np.array([0, *[rank for _, rank in tokens]], "<u4")
         self.token = {rank: token for token, rank in tokens}
         self.pattern = regex.compile(pattern)
+        self.splits = pattern == SPLITTABLE
         self.letters = "".join(byte_letters())
         self.memo: dict[str, bytes] = {}
 
@@ -125,7 +131,7 @@ class ByteBpe:
             self.memo[p] = b"".join([ids[w] for w in found])
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
-        cut = [self.parts(t or "") for t in texts]
+        cut = [self.parts(t or "") if self.splits else [t or ""] for t in texts]
         if len(self.memo) > MEMO_WORDS:
             self.memo.clear()
         unknown = {p for x in cut for p in x} - self.memo.keys()
@@ -135,7 +141,14 @@ class ByteBpe:
         return [b"".join(map(get, x)) for x in cut]
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        """The bytes of the ids; an id that the vocabulary lacks, or one cut short, is U+FFFD."""
+        whole = len(ids) // 4 * 4
+        got = np.frombuffer(ids[:whole], "<u4").tolist()
+        try:
+            out = b"".join(map(self.token.__getitem__, got))
+        except KeyError:
+            out = b"".join([self.token.get(i, UNKNOWN_BYTES) for i in got])
+        return out if whole == len(ids) else out + UNKNOWN_BYTES
 
 
 def _maker(files, pattern: str, finish, *args):
@@ -175,19 +188,27 @@ def _files(df: DataFrame, ranks_path: str):
     return df.sparkSession.sparkContext.broadcast((ranks, sentencepiece_model(ranks)))
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", n_name: str = "n_tokens", ids_name: str = "ids", verify: bool = False) -> DataFrame:
-    """docs with the number of tokens and the ids (32-bit, little-endian) of each whole text; null counts as empty.
+def _without(df: DataFrame, *names: str) -> list[str]:
+    gone = {n.lower() for n in names}
+    return [c for c in df.columns if c.lower() not in gone]
+
 
-    verify decodes each text's ids again and fails if the bytes differ.
+def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", n_name: str = "n_tokens", ids_name: str = "ids", verify: bool = False) -> DataFrame:
+    """docs with the number of tokens and the ids (32-bit, little-endian) of each whole text; null and empty texts have none.
 
-    Row by row, in Arrow batches: no shuffle, and ties, repeated rows and no rows need no rule."""
+    Columns of docs that have those names, in any case of letters, are replaced. verify decodes each
+    text's ids again and fails if the bytes differ. Row by row, in Arrow batches: no shuffle; texts
+    are whole, however long; repeated rows come out as often; no rows give no rows."""
     fields = [T.StructField(n_name, T.LongType()), T.StructField(ids_name, T.BinaryType())]
-    return map_text(docs, text_col, fields, _maker(_files(docs, ranks_path), pattern, _ids, verify))
+    return map_text(docs, text_col, fields, _maker(_files(docs, ranks_path), pattern, _ids, verify), _without(docs, n_name, ids_name))
 
 
 def decode(encoded: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids", name: str = "decoded") -> DataFrame:
-    """encoded with the text of each row's ids; null ids give null. A token cut off inside a character gives U+FFFD."""
-    return map_text(encoded, ids_col, [T.StructField(name, T.StringType())], _maker(_files(encoded, ranks_path), pattern, _decoded))
+    """encoded with the text of each row's ids; null ids give null, empty ones an empty text.
+
+    A token cut off inside a character, an unknown id and an id cut short give U+FFFD. A column of
+    that name is replaced."""
+    return map_text(encoded, ids_col, [T.StructField(name, T.StringType())], _maker(_files(encoded, ranks_path), pattern, _decoded), _without(encoded, name))
 
 
 def digests(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
