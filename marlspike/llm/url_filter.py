@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlspike.llm.common import checkpoint, col
+from marlspike.llm.common import checkpoint, col, forget
 
 #: Rule and verdict.
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
-#: Part of a host's rank that its links pass on, and rounds of passing it on.
-DAMPING, ROUNDS = 0.85, 20
+#: Part of a host's rank that its links pass on, rounds between two looks at the ranks, and the part of all
+#: weight by which ranks may still change between two looks when rounds end.
+DAMPING, STEP, TOLERANCE = 0.85, 5, 1e-6
 #: A host is blocked if distrust is at least this part of trust and distrust together.
 BLOCK_PART = 0.75
 #: Links in a page, absolute or relative to its scheme.
@@ -46,27 +47,36 @@ def host_edges(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
     return pairs.where("src <> dst AND src <> '' AND dst <> ''").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """(host, rank): personalised PageRank over edges (src, dst, n) from seeds (host, weight).
 
     rank = (1 - damping) * weight + damping * what linking hosts pass on, in proportion to n; hosts
-    without links pass nothing on. Contributions are summed before the shuffle; every fifth round
-    is checkpointed. Rounds stop at `rounds`, or when nothing links."""
+    without links pass nothing on. Contributions are summed before the shuffle; every STEP rounds
+    are checkpointed and compared with those before. Rounds go on until no host is reached that was
+    not before and ranks change by at most `tolerance` of all weight."""
     out = edges.groupBy("src").agg(F.sum("n").alias("total"))
     flow = checkpoint(edges.join(out, "src").select("src", "dst", (F.col("n") / F.col("total")).alias("part")))
-    start = seeds.select("host", ((1 - damping) * F.col("weight")).alias("rank"))
+    start = checkpoint(seeds.select("host", ((1 - damping) * F.col("weight")).alias("rank")))
+    weight = start.agg(F.sum("rank")).first()[0]
+    if not weight or flow.limit(1).count() == 0:
+        return start
     rank = start
-    if flow.limit(1).count() == 0:
-        return rank
-    for i in range(1, rounds + 1):
-        passed = rank.join(flow, F.col("host") == F.col("src")).select(F.col("dst").alias("host"), (damping * F.col("rank") * F.col("part")).alias("rank"))
-        rank = start.unionByName(passed).groupBy("host").agg(F.sum("rank").alias("rank"))
-        if i % 5 == 0 or i == rounds:
-            rank = checkpoint(rank)
-    return rank
-
-
-def judge_hosts(pages: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, block_part: float = BLOCK_PART) -> DataFrame:
+    while True:
+        before = rank
+        for _ in range(STEP):
+            passed = rank.join(flow, F.col("host") == F.col("src")).select(F.col("dst").alias("host"), (damping * F.col("rank") * F.col("part")).alias("rank"))
+            rank = start.unionByName(passed).groupBy("host").agg(F.sum("rank").alias("rank"))
+        rank = checkpoint(rank)
+        both = rank.select("host", "rank", F.lit(0).alias("old")).unionByName(before.select("host", -F.col("rank"), F.lit(1)).toDF("host", "rank", "old"))
+        moved = both.groupBy("host").agg(F.abs(F.sum("rank")).alias("d"), F.max("old").alias("old")).agg(F.sum("d").alias("d"), F.min("old").alias("old")).first()
+        if before is not start:
+            forget(before)
+        if moved["old"] == 1 and moved["d"] <= tolerance * weight:
+            forget(flow, start)
+            return rank
+
+
+def judge_hosts(pages: DataFrame, edges: DataFrame, damping: float = DAMPING, block_part: float = BLOCK_PART) -> DataFrame:
     """(of, trust, distrust, blocked) for the hosts that trust or distrust reaches.
 
     pages has host and ruled, the verdict of a rule or null. A host's seed weights are its numbers of
@@ -74,8 +84,8 @@ def judge_hosts(pages: DataFrame, edges: DataFrame, damping: float = DAMPING, ro
     those that link to it."""
     seeds = checkpoint(pages.where("ruled IS NOT NULL AND host <> ''").groupBy("host").agg(F.count_if(F.col("ruled") == "allow").cast("double").alias("a"), F.count_if(F.col("ruled") == "block").cast("double").alias("b")))
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
-    trust = propagate(edges, seeds.where("a > 0").select("host", F.col("a").alias("weight")), damping, rounds)
-    distrust = propagate(back, seeds.where("b > 0").select("host", F.col("b").alias("weight")), damping, rounds)
+    trust = propagate(edges, seeds.where("a > 0").select("host", F.col("a").alias("weight")), damping)
+    distrust = propagate(back, seeds.where("b > 0").select("host", F.col("b").alias("weight")), damping)
     both = trust.select("host", F.col("rank").alias("t"), F.lit(0.0).alias("d")).unionByName(distrust.select("host", F.lit(0.0).alias("t"), F.col("rank").alias("d")))
     scores = both.groupBy(F.col("host").alias("of")).agg(F.sum("t").alias("trust"), F.sum("d").alias("distrust"))
     return scores.withColumn("blocked", (F.col("distrust") > 0) & (F.col("distrust") >= block_part * (F.col("trust") + F.col("distrust"))))
