@@ -6,6 +6,7 @@ import json
 import math
 import re
 from collections import Counter
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,8 +14,10 @@ from pyspark.sql import functions as F
 from marlspike.llm.common import col
 
 LEAST_DICE = 0.8
+#: Letters of a stem of a word.
+STEM = 5
 
-#: Customary notices of licences and opening passages of their texts, by SPDX identifier.
+#: Customary notices of licences, opening passages of long texts and whole short texts, by SPDX identifier.
 TEMPLATES: list[tuple[str, str]] = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."),
@@ -40,6 +43,22 @@ TEMPLATES: list[tuple[str, str]] = [
     ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
     ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("GPL-2.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1989, 1991 Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007 Copyright (C) 2007 Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
 ]
 
 #: Letters and digits stay, and line ends, to find passages; all else separates words.
@@ -70,6 +89,35 @@ def least_shared(n: int, least: float) -> int:
     return min(math.ceil(least * (m + n) / 2 - 1e-9) for m in range(max(1, math.ceil(low - 1e-9)), math.floor(high + 1e-9) + 1))
 
 
+def telling_stems(templates: list[tuple[str, str]], least: float, letters: int = STEM) -> list[str]:
+    """A few stems of words, one of which every matching passage of every template holds; those of under `letters` are whole words.
+
+    A match shares least_shared() of a template's bigrams. If words with one of the stems stand in more
+    bigrams than may be missing, one of these is shared. Stems are taken that cover most of what is
+    still open; a template without enough long words gives all of its words."""
+    wanted, stems_of = [], []
+    for _, text in templates:
+        words = template_words(text)
+        pairs = list(zip(words, words[1:]))
+        long = {w[:letters] for w in words if len(w) >= letters}
+        if sum(any(len(w) >= letters for w in p) for p in pairs) <= len(pairs) - least_shared(len(pairs), least):
+            long |= set(words)
+        wanted.append(len(pairs) - least_shared(len(pairs), least) + 1)
+        stems_of.append([{x for w in p for x in long if (x in w if len(x) >= letters else x == w)} for p in pairs])
+    chosen: list[str] = []
+    often = Counter(x for pairs in stems_of for p in pairs for x in p)
+    while True:
+        open_ = [n - sum(bool(x & set(chosen)) for x in pairs) for n, pairs in zip(wanted, stems_of, strict=True)]
+        if max(open_, default=0) <= 0:
+            return sorted(chosen)
+        gain: Counter = Counter()
+        for n, pairs in zip(open_, stems_of, strict=True):
+            if n > 0:
+                for stem, k in Counter(x for p in pairs if not p & set(chosen) for x in p).items():
+                    gain[stem] += min(n, k)
+        chosen.append(min(gain, key=lambda x: (-gain[x], often[x], x)))
+
+
 def _spaces(p: Column) -> Column:
     return F.length(p) - F.length(F.replace(p, F.lit(" "), F.lit("")))
 
@@ -135,7 +183,14 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least:
         return F.get(F.array_sort(F.filter(scored, lambda s: s["dice"] >= least), first), 0)
 
     # each step is a column of its own, so that what several parts of the next one use is computed once
-    clean = docs.select(col(id_col).alias("doc_id"), F.regexp_replace(F.lower(F.coalesce(col(text_col), F.lit(""))), OTHER, " ").alias("clean"))
+    lower = docs.select(col(id_col).alias("doc_id"), F.lower(F.coalesce(col(text_col), F.lit(""))).alias("lower"))
+    # most texts hold none of the stems that every match has, and no passage of theirs needs to be looked at
+    stems = telling_stems(templates, least)
+    parts = [F.contains("lower", F.lit(x)) for x in stems if len(x) >= STEM]
+    if short := [x for x in stems if len(x) < STEM]:
+        parts.append(F.rlike("lower", F.lit(rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(short)})(?![\p{{L}}\p{{N}}])")))
+    telling = reduce(lambda a, b: a | b, parts)
+    clean = lower.select("doc_id", F.when(telling, F.regexp_replace("lower", OTHER, " ")).otherwise("").alias("clean"))
     fit = clean.select("doc_id", passages(F.col("clean"), low, high).alias("fit"))
     found = fit.select("doc_id", F.filter(F.transform(F.filter(F.transform("fit", bag), may_match), best), lambda m: m.isNotNull()).alias("found"))
     return found.select(

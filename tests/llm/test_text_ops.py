@@ -4,6 +4,7 @@ import random
 import numpy as np
 import public_tokenizers as P
 import pytest
+from pyspark.sql import functions as F
 import tiktoken
 from tokenizers import Tokenizer
 
@@ -50,6 +51,22 @@ def test_bpe_encode_decode_tables(spark):
     assert byte_bpe.encode(docs_of(spark, []), RANKS, P.PATTERN).count() == 0
 
 
+def test_byte_bpe_clashing_columns_and_unknown_ids(spark):
+    docs = docs_of(spark, [(1, "some text here"), (2, None), (3, "")], extra=True).withColumn("IDS", F.lit("y")).drop("ids")
+    out = byte_bpe.encode(docs, RANKS, P.PATTERN, verify=True)
+    assert sorted(out.columns) == sorted([c for c in docs.columns if c not in ("IDS", "n_tokens")] + ["n_tokens", "ids"])
+    assert {r.doc_id: (r.n_tokens > 0, len(r.ids) > 0) for r in out.collect()} == {1: (True, True), 2: (False, False), 3: (False, False)}
+    rows = [(np.array([1, 4_000_000_000], "<u4").tobytes(),), (b"",), (None,), (b"\x01",)]
+    back = byte_bpe.decode(spark.createDataFrame(rows, "ids binary").withColumn("decoded", F.lit(1)), RANKS, P.PATTERN).collect()
+    assert [r.decoded if r.ids is None or not r.ids else r.decoded[-1] for r in back] == ["\ufffd", "", None, "\ufffd"]
+    assert byte_bpe.SPLITTABLE == P.PATTERN
+    ranks = byte_bpe.read_ranks(RANKS)
+    other = r"\S+ \S+|\s+|\S+"  # matches reach over spaces
+    bpe, lib = byte_bpe.ByteBpe(ranks, byte_bpe.sentencepiece_model(ranks), other), tiktoken.Encoding("own", pat_str=other, mergeable_ranks=ranks, special_tokens={})
+    texts = ["two words and more of them", "a  b c"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in bpe.encode_all(texts)] == [lib.encode_ordinary(t) for t in texts]
+
+
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"])
 def test_token_counts_equal_library(spark, tmp_path, name):
     rows = [(i, t) for i, t in enumerate(ODD_TEXTS + ["<|startoftext|>x <|ENDOFTEXT|> y<|endoftext|>"] + [r[1] for r in corpus(40)])] + awkward_rows()
@@ -188,6 +205,33 @@ def test_license_scan_equals_sql(spark, tmp_path):
     assert sorted(got) == sorted(want)
 
 
+def _whole(name, least):
+    return max((t for n, t in license_scan.TEMPLATES if n == name), key=len) if least else next(t for n, t in license_scan.TEMPLATES if n == name)
+
+
+def test_licence_files_and_versions(spark):
+    gnu = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+    whole = {n: "Copyright (c) 2020 Jane Doe. All rights reserved.\n\n" + _whole(n, True).replace(". ", ".\n").replace(": ", ":\n\n") for n in ("MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause")}
+    rows = [(*x, "en") for x in enumerate([gnu.format("", "2"), gnu.format("", "3"), gnu.format("Lesser ", "3"), gnu.format("Affero ", "3"), gnu.format("Lesser ", "2.1"), *whole.values()])]
+    got = {r.doc_id: r.licenses for r in license_scan.scan(docs_of(spark, rows)).collect()}
+    assert [got[i] for i in range(5)] == ["GPL-2.0", "GPL-3.0", "LGPL-3.0", "AGPL-3.0", "LGPL-2.1"]
+    assert all(name in got[5 + i].split(",") for i, name in enumerate(whole)) and "BSD-3-Clause" not in got[7]
+
+
+def test_every_match_holds_a_telling_stem():
+    r = random.Random(8)
+    stems = license_scan.telling_stems(license_scan.TEMPLATES, 0.8)
+    holds = lambda w: any(x in w if len(x) >= license_scan.STEM else x == w for x in stems)
+    for _, t in license_scan.TEMPLATES:
+        words = license_scan.template_words(t)
+        # words without a stem alone never reach the least similarity
+        bare = [w for w in words if not holds(w)]
+        assert _dice(bare, t) < 0.8 if len(bare) > 1 else True
+        for _ in range(20):  # nor does any text that the stems are cut out of
+            cut = [w if not holds(w) else f"z{r.randrange(99)}" for w in words]
+            assert _dice(cut, t) < 0.8
+
+
 def test_size_bounds_are_tight():
     for n in range(1, 60):
         low, high = license_scan.size_bounds(n, 0.8)
