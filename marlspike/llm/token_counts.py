@@ -87,9 +87,11 @@ class Counter:
 
 
 def content_digest(text: Column, by_word: bool) -> Column:
-    """SHA-256 of the normalised text: null as empty, runs of white space as one space where they only separate."""
+    """SHA-256 of the normalised text: null as empty, runs of white space as one space where they only separate.
+
+    Never null, and known to be so: else joins would compute it once more, to leave out nulls."""
     text = F.coalesce(text, F.lit(""))
-    return F.unhex(F.sha2(F.regexp_replace(text, SPACES, " ") if by_word else text, 256))
+    return F.coalesce(F.unhex(F.sha2(F.regexp_replace(text, SPACES, " ") if by_word else text, 256)), F.lit(b""))
 
 
 def read_cache(spark: SparkSession, path: str, tokenizer: Tokenizer) -> DataFrame:
@@ -117,7 +119,8 @@ def _count_misses(docs: DataFrame, tokenizer: Tokenizer, wanted: DataFrame, n: i
     # copies are combined before the shuffle, so a text that many rows share moves once for each task
     one = texts.groupBy("content").agg(F.first("text").alias("text"))
     if not few:
-        one = one.join(wanted, "content", "left_semi")
+        # wanted digests are distinct; Spark would move a semi-join in front of the aggregate, and copies through the shuffle
+        one = one.join(wanted, "content")
     counted = map_text(one, "text", [T.StructField("n_tokens", T.LongType())], make, ["content"])
     return counted.select("content", F.lit(tokenizer.digest).alias("tokenizer"), "n_tokens")
 
