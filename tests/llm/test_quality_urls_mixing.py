@@ -219,6 +219,13 @@ def test_url_graph(spark):
         assert r_.verdict == want or abs(d - 0.75 * (t + d)) < 1e-9
 
 
+def test_trust_reaches_hosts_far_from_a_seed(spark):
+    n = 60
+    chain = [(i, f"http://h{i}.net/x", f'<a href="http://h{i + 1}.net/">') for i in range(n)] + [(n, f"http://h{n}.net/x", '<a href="http://b.com/de/">'), (n + 1, "http://b.com/de/x", None), (n + 2, "http://alone.net/", "")]
+    out = {r.page_id: r.verdict for r in url_filter.filter_urls(spark.createDataFrame(chain, PAGES)).collect()}
+    assert all(out[i] == "block" for i in range(n + 2)) and out[n + 2] == "allow"
+
+
 def brute_mix(rows, target):
     import hashlib
 

@@ -251,6 +251,32 @@ def brute_base(text):
     return ",".join(f"{secret_scan.KINDS[k]}:{a}:{b}" for a, k, b in sorted(out))
 
 
+#: The base patterns, written out again: kind, pattern, the group whose length counts, its least length.
+SECRETS = [
+    ("assign", r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 6),
+    ("access", r"(AKIA[A-Z0-9]+)", 1, 20),
+    ("hex", r"([0-9a-f]+)", 1, 24),
+]
+
+
+def test_base_patterns_equal_those_written_out(spark):
+    import re
+
+    r = random.Random(12)
+    pieces = ["password", "PassWd", "api_key", "apikey", "TOKEN", "secret", " ", "  ", ":", "=", '"', "'", "AKIA" + "A1" * 9, "AKIA0", "0123456789abcdef" * 2, "deadbeef", "ABC", "xyz/+_.-=", "é", "\n", "\t", "ſecret", "hunter2hunter2"]
+    rows = [(i, "".join(r.choice(pieces) for _ in range(r.randrange(40)))) for i in range(500)]
+    found = 0
+    for row, x in zip(rows, sorted(secret_scan.scan(docs_of(spark, rows), RANKS, P.PATTERN).collect(), key=lambda x: x.doc_id)):
+        want = []
+        for k, (name, pattern, group, least) in enumerate(SECRETS):
+            want += [(m.start(), k, f"{name}:{m.start()}:{m.end()}") for m in re.finditer(pattern, row[1], re.I | re.A if k == 0 else 0) if len(m[group]) >= least]
+        base = ",".join(text for _, _, text in sorted(want))
+        found += len(want)
+        assert x.base_sha256 == hashlib.sha256(base.encode()).hexdigest(), row[1]
+        assert (x.n_assign, x.n_access, x.n_hex) == tuple(sum(w[1] == k for w in want) for k in range(3))
+    assert found > 500
+
+
 def test_secret_scan(spark):
     r = random.Random(4)
     pieces = ["password", "Token", "API_KEY", "secret", " ", ":", "=", '"', "'", "AKIA", "ABCDEFGH1234", "deadbeef", "0123456789abcdef", "x", "é", "\n", ".", "zz-9", "ſecret", "passwd"]
