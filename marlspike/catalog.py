@@ -304,8 +304,9 @@ class TableBuilder:
 class Catalog:
     """All tables of a database, bound to a session and a store of their rows."""
 
-    def __init__(self, spark: SparkSession | None = None, store: Any = None):
+    def __init__(self, spark: SparkSession | None = None, store: Any = None, charset: str | None = None, collate: str | None = None):
         self.spark, self.store = spark, store
+        self.charset, self.collate = charset, collate
         self.tables: dict[str, Table] = {}
         self.frozen = False
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
@@ -60,6 +61,9 @@ def diff(old: Catalog, new: Catalog) -> list[Action]:
         out.append(Action("table_deleted", o, old.tables[o]))
     for n, o in pairs.items():
         out += _diff_table(old.tables[o], new.tables[n], pairs)
+    for what in ("charset", "collate"):
+        if getattr(old, what) != getattr(new, what):
+            out.append(Action(f"db_{what}_changed", "", getattr(new, what), getattr(old, what)))
     return sorted(out, key=lambda a: a.priority)
 
 
@@ -147,6 +151,28 @@ class Migration:
     up: Callable[[Any], Any]
     down: Callable[[Any], Any] | None = None
     schema: dict = field(default_factory=dict)
+    before: dict = field(default_factory=dict)
+
+    def save(self, spark: Any, folder: str) -> str:
+        """Write a migration made by between() to a file of its own in a folder that Spark reaches; its path. A file that is there is not replaced."""
+        if not self.schema:
+            raise QueryError(f"migration {self.version} has no schemas to write")
+        name = re.sub(r"[^a-z0-9]+", "-", self.label.lower()).strip("-")
+        path = f"{folder.rstrip('/')}/{self.version:012d}-{name}.json"
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        out = p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).create(p, False)
+        out.write(json.dumps({"version": self.version, "label": self.label, "old": self.before, "new": self.schema}, default=str, indent=1).encode())
+        out.close()
+        return path
+
+    @classmethod
+    def load_all(cls, spark: Any, folder: str) -> list[Migration]:
+        """The migrations that save() wrote to a folder, by version."""
+        from marlspike.sources.store import MemoryStore
+
+        found = [json.loads(r[0]) for r in spark.read.text(f"{folder.rstrip('/')}/*.json", wholetext=True).collect()]
+        catalog = lambda schema: Catalog(spark, MemoryStore(spark)).load(schema).freeze()
+        return sorted((cls.between(m["version"], m["label"], catalog(m["old"]), catalog(m["new"])) for m in found), key=lambda m: m.version)
 
     @classmethod
     def between(cls, version: int, label: str, old: Catalog, new: Catalog) -> Migration:
@@ -161,7 +187,7 @@ class Migration:
 
             return do
 
-        return cls(version, label, run(old, new), run(new, old), new.to_dict())
+        return cls(version, label, run(old, new), run(new, old), new.to_dict(), old.to_dict())
 
 
 class Runner:

@@ -150,6 +150,28 @@ def test_migration_between(spark):
     assert old.store.frames["t"].columns == ["id", "a"]
 
 
+def test_migration_files(spark, tmp_path):
+    old, new = make(spark, lambda t: t.id().string("a")), make(spark, lambda t: t.id().string("a").int("b", default=7))
+    last = make(spark, lambda t: t.id().string("a", max=9).int("b", default=7).string("c", nullable=True))
+    Migration.between(2, "Add c, too!", new, last).save(spark, str(tmp_path))
+    assert Migration.between(1, "add b", old, new).save(spark, str(tmp_path)).endswith("/000000000001-add-b.json")
+    with pytest.raises(Exception, match="exists"):
+        Migration.between(1, "add b", old, new).save(spark, str(tmp_path))
+    with pytest.raises(QueryError):
+        Migration(3, "by hand", lambda s: None).save(spark, str(tmp_path))
+    read = Migration.load_all(spark, str(tmp_path))
+    assert [(m.version, m.label) for m in read] == [(1, "add b"), (2, "Add c, too!")]
+    Insert(old, "t").values({"a": "x"}).execute()
+    r = Runner(read, MemoryLedger(), old.store)
+    assert r.up() == [1, 2] and [tuple(x) for x in old.store.frames["t"].collect()] == [(1, "x", 7, None)]
+    assert r.rollback(2) == [2, 1] and old.store.frames["t"].columns == ["id", "a"]
+
+
+def test_database_charset(spark):
+    a, b = Catalog(spark, charset="utf8", collate="x"), Catalog(spark, charset="utf8mb4", collate="x")
+    assert [(x.kind, x.detail, x.before) for x in diff(a, b)] == [("db_charset_changed", "utf8mb4", "utf8")] and diff(b, b) == []
+
+
 def test_codegen(spark):
     c = bank(spark)
     py, ts, dart = (codegen.generate(c, x)["clients"] for x in ("python", "typescript", "dart"))
