@@ -74,7 +74,7 @@ def _rows(templates: list[tuple[str, str]]) -> list[dict]:
     for name, text in templates:
         words = template_words(text)
         grams = Counter(f"{a} {b}" for a, b in zip(words, words[1:]))
-        out.append({"name": name, "n": len(words) - 1, "grams": [{"gram": g, "n": n} for g, n in sorted(grams.items())]})
+        out.append({"name": name, "n": len(words) - 1, "first": " ".join(words[:2]), "grams": [{"gram": g, "n": n} for g, n in sorted(grams.items())]})
     return out
 
 
@@ -146,15 +146,23 @@ def passages(clean: Column, low: int, high: int) -> Column:
     return F.array_distinct(F.concat(lines, F.filter(F.transform(F.concat(blocks, whole), one_line), fits)))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST_DICE, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
-    """doc_id, licenses, n_passages, best_dice of every row of docs.
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST_DICE, templates: list[tuple[str, str]] = TEMPLATES, windows: bool = False) -> DataFrame:
+    """doc_id, licenses, n_passages, best_dice of every row of docs; with windows also notices and best_window.
 
     A passage names the licence of the template with which its bag of word bigrams has the highest
     Dice coefficient, if that is `least` or more; of equal ones the first identifier. licenses has
     the identifiers in order, comma-joined ('' if none), n_passages counts the distinct passages
     that name one, best_dice is 0 if none does. Templates whose size bounds
     the passage misses are not compared. A null text has no passages of note; ids may be null or
-    repeated; no rows give no rows; other columns are ignored. Each row is judged where it is."""
+    repeated; no rows give no rows; other columns are ignored. Each row is judged where it is.
+
+    Passages end where lines and paragraphs do. Windows find notices among other words: of the whole
+    text on one line, a template's begin where a run of its bigrams does, or with its first bigram, and
+    are as long as the template, or end with the text. Where one has a coefficient of `least` or more,
+    all templates are compared from there, and the template that shares most bigrams, of those with
+    `least` or more, is named (of equal ones that of the higher coefficient, then the first
+    identifier). notices has their identifiers, best_window the highest coefficient of a named one
+    (0 if none). No window is left out, however many there are."""
     rows = _rows(templates)
     bounds = [size_bounds(r["n"], least) for r in rows]
     low, high = math.ceil(min(b[0] for b in bounds)), math.floor(max(b[1] for b in bounds))
@@ -191,22 +199,85 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least:
         parts.append(F.rlike("lower", F.lit(rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(short)})(?![\p{{L}}\p{{N}}])")))
     telling = reduce(lambda a, b: a | b, parts)
     clean = lower.select("doc_id", F.when(telling, F.regexp_replace("lower", OTHER, " ")).otherwise("").alias("clean"))
-    fit = clean.select("doc_id", passages(F.col("clean"), low, high).alias("fit"))
-    found = fit.select("doc_id", F.filter(F.transform(F.filter(F.transform("fit", bag), may_match), best), lambda m: m.isNotNull()).alias("found"))
+    more = ["windows"] if windows else []
+    if windows:
+        clean = _with_windows(clean, rows, distinct, least)
+    fit = clean.select("doc_id", passages(F.col("clean"), low, high).alias("fit"), *more)
+    found = fit.select("doc_id", F.filter(F.transform(F.filter(F.transform("fit", bag), may_match), best), lambda m: m.isNotNull()).alias("found"), *more)
     return found.select(
         "doc_id",
         F.array_join(F.array_sort(F.array_distinct(F.transform("found", lambda s: s["name"]))), ",").alias("licenses"),
         F.size("found").cast("long").alias("n_passages"),
         F.coalesce(F.array_max(F.transform("found", lambda s: s["dice"])), F.lit(0.0)).alias("best_dice"),
+        *([
+            F.array_join(F.array_sort(F.array_distinct(F.transform("windows", lambda s: s["name"]))), ",").alias("notices"),
+            F.coalesce(F.array_max(F.transform("windows", lambda s: s["dice"])), F.lit(0.0)).alias("best_window"),
+        ] if windows else []),
     )
 
 
-def scan_sql(least: float = LEAST_DICE, templates: list[tuple[str, str]] = TEMPLATES) -> str:
-    """The scan of `documents` as DuckDB SQL: each passage against each template of fitting size."""
+def _with_windows(clean: DataFrame, rows: list[dict], distinct: list[int], least: float) -> DataFrame:
+    """doc_id, clean and windows: the named windows as (shared, dice, place, name, begins), place being the order among equals.
+
+    A text without the different bigrams that a match with some template shares has no windows of it;
+    that is known from one intersection, and only texts that pass it keep their bigrams."""
+    order = sorted(range(len(rows)), key=lambda t: (rows[t]["name"], t))
+    table = F.from_json(
+        F.lit(json.dumps([
+            {
+                "name": rows[t]["name"], "place": -i, "n": rows[t]["n"], "need": max(1, distinct[t]), "first": rows[t]["first"],
+                "grams": [g["gram"] for g in rows[t]["grams"]], "repeats": [g for g in rows[t]["grams"] if g["n"] > 1],
+            }
+            for i, t in enumerate(order)
+        ])),
+        "array<struct<name string, place int, n int, need int, first string, grams array<string>, repeats array<struct<gram string, n int>>>>",
+    )
+    known = F.from_json(F.lit(json.dumps(sorted({g["gram"] for r in rows for g in r["grams"]}))), "array<string>")
+
+    def words() -> Column:
+        return F.split(F.trim(F.regexp_replace("clean", "[ \n]+", " ")), " ")
+
+    def pairs(w: Column) -> Column:
+        return F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat(a, F.lit(" "), b))
+
+    def shared(w: Column, t: Column) -> Column:
+        # a bag's repeats count as often as the template has them
+        again = F.aggregate(t["repeats"], F.lit(0), lambda acc, g: acc + F.greatest(F.lit(0), F.least(g["n"], F.size(F.filter(w, lambda x: x == g["gram"]))) - 1))
+        return F.size(F.array_intersect(w, t["grams"])) + again
+
+    def scored(w: Column, t: Column, begins: Column) -> Column:
+        return F.transform(F.array(shared(w, t)), lambda k: F.struct(k.alias("shared"), (2.0 * k / (F.size(w) + t["n"])).alias("dice"), t["place"].alias("place"), t["name"].alias("name"), begins.alias("begins")))
+
+    def at(i: Column) -> Column:
+        gram, last = F.get(F.col("grams"), i - 1), F.coalesce(F.get(F.col("grams"), i - 2), F.lit(""))
+
+        def begins(t: Column) -> Column:
+            return (t["first"] == gram) | (F.array_contains(t["grams"], gram) & ~F.array_contains(t["grams"], last))
+
+        compared = F.when(F.exists(F.col("near"), begins), F.col("near"))
+        each = F.flatten(F.transform(compared, lambda t: F.flatten(F.transform(F.array(F.slice(F.col("grams"), i, t["n"])), lambda w: scored(w, t, begins(t))))))
+        hits = F.filter(each, lambda s: s["dice"] >= least)
+        return F.get(F.transform(F.array(hits), lambda h: F.when(F.exists(h, lambda s: s["begins"]), F.array_max(h))), 0)
+
+    none = F.array().cast("array<string>")
+    cut = clean.select("doc_id", "clean", F.when(F.length("clean") > 0, words()).otherwise(none).alias("words"))
+    # the bigrams of the templates that the text has; few, so that templates are compared with these alone
+    met = cut.select("doc_id", "clean", "words", F.when(F.size("words") > 1, F.array_intersect(pairs(F.col("words")), known)).otherwise(none).alias("met"))
+    near = met.select("doc_id", "clean", "words", F.filter(table, lambda t: (F.size("met") >= t["need"]) & (F.size(F.array_intersect("met", t["grams"])) >= t["need"])).alias("near"))
+    kept = near.select("doc_id", "clean", "near", F.when(F.size("near") > 0, pairs(F.col("words"))).otherwise(none).alias("grams"))
+    begin = F.array_distinct(F.flatten(F.transform("near", lambda t: t["grams"])))
+    first = kept.select("doc_id", "clean", "near", "grams", F.when(F.size("near") > 0, F.array_intersect(begin, F.col("grams"))).otherwise(none).alias("begin"))
+    places = first.select("doc_id", "clean", "near", "grams", F.when(F.size("begin") > 0, F.filter(F.sequence(F.lit(1), F.size("grams")), lambda i: F.array_contains("begin", F.get("grams", i - 1)))).otherwise(F.array().cast("array<int>")).alias("places"))
+    return places.select("doc_id", "clean", F.filter(F.transform("places", at), lambda m: m.isNotNull()).alias("windows"))
+
+
+def scan_sql(least: float = LEAST_DICE, templates: list[tuple[str, str]] = TEMPLATES, windows: bool = False) -> str:
+    """The scan of `documents` as DuckDB SQL: each passage against each template of fitting size, and each window against its template."""
     rows = _rows(templates)
     values = ",\n  ".join(
         f"({i}, '{r['name']}', {r['n']}, '{g['gram']}', {g['n']})" for i, r in enumerate(rows) for g in r["grams"]
     )
+    firsts = ", ".join(f"({i}, '{r['first']}')" for i, r in enumerate(rows))
     return rf"""
 WITH grams(t, name, size, gram, n) AS (VALUES
   {values}
@@ -242,7 +313,35 @@ clean AS (
 ), hits AS (
   SELECT row, string_agg(DISTINCT name, ',' ORDER BY name) AS licenses, count(*) AS n_passages, max(dice) AS best_dice
   FROM firsts GROUP BY row
-)
-SELECT doc_id, coalesce(licenses, '') AS licenses, CAST(coalesce(n_passages, 0) AS BIGINT) AS n_passages, coalesce(best_dice, 0.0::DOUBLE) AS best_dice
-FROM clean LEFT JOIN hits USING (row)
+){_WINDOWS_SQL.replace("$least", repr(least)).replace("$firsts", firsts) if windows else ""}
+SELECT doc_id, coalesce(licenses, '') AS licenses, CAST(coalesce(n_passages, 0) AS BIGINT) AS n_passages, coalesce(best_dice, 0.0::DOUBLE) AS best_dice{_WINDOWS_COLUMNS if windows else ""}
+FROM clean LEFT JOIN hits USING (row){" LEFT JOIN noticed USING (row)" if windows else ""}
 """
+
+
+#: The windows: each beginning counts the template's bigrams up to the window's end.
+_WINDOWS_SQL = r""", firsts_of(t, gram) AS (VALUES
+  $firsts
+), split AS (
+  SELECT row, string_split(trim(regexp_replace(c, '[ \n]+', ' ', 'g')), ' ') AS w FROM clean
+), placed AS (
+  SELECT row, i, len(w) - 1 AS last, w[i] || ' ' || w[i + 1] AS gram FROM (SELECT row, w, unnest(range(1, len(w))) AS i FROM split)
+), met AS (
+  SELECT row, t, i, last, gram, name, size, n FROM placed JOIN grams USING (gram)
+), begun AS (
+  SELECT met.row, met.t, met.i, met.last FROM met LEFT JOIN firsts_of f ON f.t = met.t AND f.gram = met.gram
+  LEFT JOIN met p ON p.row = met.row AND p.t = met.t AND p.i = met.i - 1
+  WHERE f.t IS NOT NULL OR p.t IS NULL
+), counted AS (
+  SELECT a.row, b.t, a.i, b.name, b.size, least(b.size, a.last - a.i + 1) AS k, b.gram, least(count(*), b.n) AS n
+  FROM (SELECT DISTINCT row, i, last FROM begun) a JOIN met b ON b.row = a.row AND b.i >= a.i AND b.i < a.i + b.size
+  GROUP BY a.row, b.t, a.i, b.name, b.size, a.last, b.gram, b.n
+), measured AS (
+  SELECT row, t, i, name, sum(n) AS shared, 2.0::DOUBLE * sum(n) / (k + size) AS dice FROM counted GROUP BY row, t, i, name, size, k
+), named AS (
+  SELECT * FROM measured SEMI JOIN (SELECT row, i FROM measured JOIN begun USING (row, t, i) WHERE dice >= $least::DOUBLE) USING (row, i) WHERE dice >= $least::DOUBLE
+  QUALIFY row_number() OVER (PARTITION BY row, i ORDER BY shared DESC, dice DESC, name) = 1
+), noticed AS (
+  SELECT row, string_agg(DISTINCT name, ',' ORDER BY name) AS notices, max(dice) AS best_window FROM named GROUP BY row
+)"""
+_WINDOWS_COLUMNS = ", coalesce(notices, '') AS notices, coalesce(best_window, 0.0::DOUBLE) AS best_window"

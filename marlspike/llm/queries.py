@@ -45,7 +45,7 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.scan(_table(spark, sf_dir, "documents"))
+    return license_scan.scan(_table(spark, sf_dir, "documents"), windows=True)
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,4 +129,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op5_license_scan": license_scan.scan_sql(), "op9_source_mix": OP9_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op5_license_scan": license_scan.scan_sql(windows=True), "op9_source_mix": OP9_SQL}

@@ -218,6 +218,71 @@ def test_licence_files_and_versions(spark):
     assert all(name in got[5 + i].split(",") for i, name in enumerate(whole)) and "BSD-3-Clause" not in got[7]
 
 
+def brute_windows(text, least=0.8):
+    import collections
+    import re
+
+    flat = re.sub(r"[\W_]+", " ", text.lower()).strip().split(" ")
+    grams = list(zip(flat, flat[1:]))
+    bags = [(name, collections.Counter(zip(t, t[1:])), len(t) - 1, tuple(t[:2])) for name, t in ((n, license_scan.template_words(t)) for n, t in license_scan.TEMPLATES)]
+    names, best = set(), 0.0
+    for i in range(len(grams)):
+        fits = []
+        if not any(grams[i] in bag for _, bag, _, _ in bags):
+            continue
+        for name, bag, size, first in bags:
+            window = grams[i : i + size]
+            shared = sum((collections.Counter(window) & bag).values())
+            dice = 2 * shared / (len(window) + size)
+            if dice >= least:
+                fits.append((-shared, -dice, name, grams[i] == first or grams[i] in bag and (i == 0 or grams[i - 1] not in bag)))
+        if any(begins for *_, begins in fits):
+            names.add(min(fits)[2])
+            best = max(best, -min(fits)[1])
+    return ",".join(sorted(names)), best
+
+
+def _glued(r):
+    """Templates among other words on one line, whole, cut, changed, run together or twice."""
+    rows = []
+    for _, t in license_scan.TEMPLATES:
+        w = t.split(" ")
+        spot = r.randrange(len(w))
+        for piece in (t, " ".join(w[: spot] + ["changed"] + w[spot + 1 :]), " ".join(w[r.randrange(max(1, len(w) // 4)) :]), t + " " + t, t + " " + r.choice(license_scan.TEMPLATES)[1]):
+            rows.append((len(rows), f"Notes on rivers in winter {r.choice(['', '. ', ' of the '])}{piece}{r.choice(['', ' and', ' and so on to the end of it all'])}"))
+    return rows
+
+
+def test_windows_equal_brute_force_and_sql(spark):
+    import duckdb
+
+    rows = _glued(random.Random(21)) + [(1000 + i, r[1]) for i, r in enumerate(awkward_rows()) if i != 7]
+    docs = docs_of(spark, rows)
+    got = {r.doc_id: r for r in license_scan.scan(docs, windows=True).collect()}
+    assert len(got) == len(rows)
+    for i, text in rows:
+        assert (got[i].notices, got[i].best_window) == brute_windows(text or ""), text
+    documents = docs.toPandas()  # noqa: F841  DuckDB finds it by name
+    assert sorted(tuple(r) for r in got.values()) == sorted(duckdb.sql(license_scan.scan_sql(windows=True)).fetchall())
+    assert license_scan.scan(docs_of(spark, []), windows=True).count() == 0
+
+
+def test_notices_among_other_words(spark):
+    bsd = _whole("BSD-3-Clause", True).replace(": 1.", ":\n\n1.").replace(". 2.", ".\n\n2.").replace(". 3.", ".\n\n3.").replace(" THIS", "\n\nTHIS", 1)
+    apache = next(t for n, t in license_scan.TEMPLATES if n == "Apache-2.0" and len(t) > 300)
+    texts = {
+        "Copyright 2020 Jane Doe. Licensed under the Apache License, Version 2.0.": "Apache-2.0",
+        "Notes on rivers in winter. Released under the MIT License.": "MIT",
+        f"We walked along the river for a day. {apache} Then we went home and wrote it all down.": "Apache-2.0",
+        " some more words ".join([bsd] * 3): "BSD-3-Clause",
+        f"A story.\n\nCopyright (c) 2020 Jane Doe. All rights reserved.\n\n{bsd}\n\nIt goes on after that, for a long time.": "BSD-3-Clause",
+        "We walked under the trees. The license of the public house was on the wall, version 2 of it.": "",
+    }
+    rows = list(enumerate(texts))
+    got = {r.doc_id: r for r in license_scan.scan(docs_of(spark, rows, extra=True), windows=True).collect()}
+    assert [got[i].notices for i in range(len(rows))] == list(texts.values())
+
+
 def test_every_match_holds_a_telling_stem():
     r = random.Random(8)
     stems = license_scan.telling_stems(license_scan.TEMPLATES, 0.8)
