@@ -20,6 +20,8 @@ KINDS = ("one-to-one", "one-to-many", "many-to-one", "many-to-many")
 LINKS = ("columns", "morph", "through", "join")
 #: Output column with the host's key.
 HOST_KEY = "_computed_host_key"
+#: Of greater(): targets in a run, and parts that the hosts of a run are dealt to.
+RUN, PARTS = 2048, 4
 
 
 @dataclass
@@ -262,6 +264,35 @@ class Relation:
         return {**out, **s.here}
 
 
+def greater(hosts: DataFrame, targets: DataFrame, on: dict[str, str], than: tuple[str, str], key: list[str], run: int = RUN, parts: int = PARTS) -> DataFrame:
+    """Each host's row beside every target that agrees with it in the columns of on and has the greater value: than names both values.
+
+    Host columns are named first in on and than; all names must differ. Pairs may be as many as the square of the rows, so
+    these are what the work is dealt out by. Targets are sorted within a group and cut into runs; a host meets
+    runs whose greatest value is above its own, each as one row that is unfolded in place, so few pairs but those returned are
+    compared. A run and a part of its hosts go to a task together, whatever the group's size. key names columns of the target
+    that settle the order of equal values: a task that runs again must cut the same runs. Null equals and exceeds nothing;
+    NaN exceeds all but itself."""
+    mine, theirs = than
+    groups = {f"_on{i}": (a, b) for i, (a, b) in enumerate(on.items())}
+    place = F.row_number().over(Window.partitionBy(*on.values()).orderBy(theirs, *key))
+    known = targets
+    for c in (*on.values(), theirs):
+        known = known.where(F.col(c).isNotNull())
+    # the host's names are not used here, and the target's are inside the rows
+    runs = known.withColumn("_run", F.floor((place - 1) / run)).groupBy(*[F.col(b).alias(k) for k, (_, b) in groups.items()], "_run").agg(F.collect_list(F.struct(*targets.columns)).alias("_rows"), F.max(theirs).alias("_top"))
+    same = F.lit(True)
+    for k, (a, _) in groups.items():
+        same &= F.col(a) == F.col(k)
+    met = hosts.join(F.broadcast(runs.drop("_rows")), same & (F.col("_top") > F.col(mine))).select(*hosts.columns, F.col("_run").alias("_met"), F.pmod(F.hash(*[F.col(c) for c in hosts.columns]), F.lit(parts)).alias("_part"))
+    dealt = runs.drop("_top").withColumn("_of", F.explode(F.array(*[F.lit(i) for i in range(parts)])))
+    # neither by broadcast, where tasks are those that read the hosts, nor with small partitions put together: what is small here gives many pairs
+    n = int(hosts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met, dealt = met.repartition(n, *on, "_met", "_part"), dealt.repartition(n, *groups, "_run", "_of")
+    pairs = met.join(dealt.hint("merge"), same & (F.col("_met") == F.col("_run")) & (F.col("_part") == F.col("_of")))
+    return pairs.select(*hosts.columns, F.explode("_rows").alias("_row")).where(F.col(f"_row.{theirs}") > F.col(mine)).select(*hosts.columns, "_row.*")
+
+
 class VirtualRelation:
     """Relatives that a function gives: controller(host row as dict, options) or controller.batch(hosts, options)."""
 

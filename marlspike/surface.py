@@ -24,7 +24,7 @@ from marlspike.functions import jsonops
 from marlspike.operators import dml
 from marlspike.operators.dml import Delete, Insert, Update
 from marlspike.operators.paging import Options, TableQuery
-from marlspike.operators.relations import HOST_KEY
+from marlspike.operators.relations import HOST_KEY, greater
 from marlspike.operators.select import Select, select
 from marlspike.plans.fields import parse_path, print_path
 from marlspike.plans.filters import Filters, MultiScope, TableScope
@@ -89,7 +89,7 @@ class _Richer:
 
     def batch(self, catalog: Catalog, hosts: DataFrame, **options: Any) -> DataFrame:
         mine = hosts.select(F.col("c_custkey").alias(HOST_KEY), F.col("c_nationkey").alias("nation"), F.col("c_acctbal").alias("least"))
-        return mine.join(catalog.read("customer"), (F.col("nation") == F.col("c_nationkey")) & (F.col("c_acctbal") > F.col("least")))
+        return greater(mine, catalog.read("customer"), {"nation": "c_nationkey"}, ("least", "c_acctbal"), ["c_custkey"])
 
 
 def _from(c: Catalog, table: str, alias: str) -> Select:
